@@ -15,6 +15,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import shared_dir
+    from .records import read_records, write_records
+    from .tokens import file_path
+
+    folder = shared_dir(spark, "records")
+    write_records(table(spark, sf_dir, "documents"), folder, file_path("word_bpe_49k.json"), end_id=2)
+    return read_records(spark, folder)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    from .tokens import file_path
+
+    return pack(table(spark, sf_dir, "documents"), file_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_records": op2_token_records,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
