@@ -44,10 +44,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_counts import piece_counts
+    from .tokens import file_path
+
+    return piece_counts(table(spark, sf_dir, "documents"), file_path("word_bpe_49k.json"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
+    "op3_piece_counts": op3_piece_counts,
     "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language": op9_language,
     "op10_source_mix": op10_source_mix,
 }
