@@ -51,6 +51,12 @@ def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(table(spark, sf_dir, "documents"), file_path("word_bpe_49k.json"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import language_report
 
@@ -60,6 +66,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_piece_counts": op3_piece_counts,
+    "op4_media": op4_media,
     "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
