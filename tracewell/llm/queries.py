@@ -15,6 +15,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_report
+
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_dir
     from .records import read_records, write_records
@@ -64,6 +70,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_token_records": op2_token_records,
     "op3_piece_counts": op3_piece_counts,
     "op4_media": op4_media,
