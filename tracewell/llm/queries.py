@@ -44,6 +44,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_piece_counts": op3_piece_counts,
     "op4_media": op4_media,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
