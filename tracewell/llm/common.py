@@ -75,6 +75,15 @@ def keep_ids(df: DataFrame, ids: DataFrame, anti: bool = False, column: str = "d
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), column, "left_anti" if anti else "left_semi")
 
 
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and the whole row in one struct, so that no added name can clash."""
+    return docs.select(*needed, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows with about limit bytes of text."""
     import numpy as np

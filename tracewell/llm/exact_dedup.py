@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_case, keep_ids, parts, text_of
+from .common import boxed, cut, fold_case, keep_ids, parts, text_of, unboxed
 
 INDEX_SCHEMA = "digest binary, keep_id long, n_rows long, batch string"
 
@@ -83,19 +83,27 @@ def dedup_report(docs: DataFrame, index: str | None = None) -> DataFrame:
 
 
 def dedup(docs: DataFrame, index: str | None = None) -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The rows that stay, with all their columns.
 
-    doc_id is taken to tell documents apart; of rows that repeat an id with the same text one
-    stays. Rows without a duplicate never move: only the ids that go are joined back.
+    Rows without a duplicate never move: ids all of whose rows go are joined back and removed.
+    Only ids with rows of both kinds, and rows without an id, are matched by id and digest, and
+    one of equal ones stays.
     """
     spark = docs.sparkSession
-    gone = cut(DigestIndex(spark, index or index_name(spark)).ingest(docs).where(~F.col("kept")), "dedup-gone")
-    out = keep_ids(docs, gone.where(F.col("keep_id") != F.col("doc_id")).select("doc_id").distinct(), anti=True)
-    again = gone.where(F.col("keep_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    if again.isEmpty():
+    decided = cut(DigestIndex(spark, index or index_name(spark)).ingest(docs), "dedup-decided")
+    gone = decided.where(~F.col("kept"))
+    stay = decided.where("kept").select("doc_id", "digest")
+    mixed = cut(stay.join(gone.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct(), "dedup-mixed")
+    ids = gone.where("doc_id is not null").select("doc_id").distinct()
+    out = keep_ids(docs, ids, anti=True)
+    unnamed = not gone.where("doc_id is null").isEmpty()
+    if mixed.isEmpty() and not unnamed:
         return out
-    # Repeated rows of one id: the first of each (doc_id, digest) stays.
-    mark = F.sha2(fold_case(text_of()).cast("binary"), 256)
-    repeated = out.join(again, "doc_id", "left_semi").withColumn("_mark", mark).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
-    missing_id = out.where(F.col("doc_id").isNull()).withColumn("_mark", mark).dropDuplicates(["_mark"]).drop("_mark")
-    return out.where(F.col("doc_id").isNotNull()).join(again, "doc_id", "left_anti").unionByName(repeated).unionByName(missing_id)
+    if unnamed:
+        out = out.where("doc_id is not null")
+    part = docs.join(mixed, "doc_id", "left_semi")
+    part = part.unionByName(docs.where("doc_id is null")) if unnamed else part
+    digest = F.unhex(F.sha2(fold_case(text_of()).cast("binary"), 256)).alias("_digest")
+    part = boxed(part, F.col("doc_id").cast("long").alias("_id"), digest)
+    held = part.join(stay, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")), "left_semi")
+    return out.unionByName(unboxed(held.dropDuplicates(["_id", "_digest"])))

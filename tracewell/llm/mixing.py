@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, text_of
+from .common import WORD_PATTERN, boxed, cut, text_of, unboxed
 
 #: Documents that the exact choice at the end of a partial pass looks at, on average.
 LAST_DOCUMENTS = 500
@@ -177,10 +177,11 @@ class Mix:
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with all their columns, each row as often as the mix takes it (rows without
         words as often as its source's whole passes, once at least)."""
-        rows = self.copies(annotate(docs, self.sources, self.seed))
+        needed = ["doc_id", "text", self.sources.alias("_sources")]
+        rows = self.copies(annotate(boxed(docs, *needed), F.col("_sources"), self.seed))
         times = F.when(F.col("_size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")).cast("int")
         again = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        return again.select(*docs.columns)
+        return unboxed(again)
 
 
 def single_source(words: dict[tuple, int]) -> dict[str | None, float]:

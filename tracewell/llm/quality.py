@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, slices, text_of
+from .common import boxed, keep_ids, slices, text_of, unboxed
 
 #: Labelled documents that the trees are grown on, at most about this many.
 TRAIN_DOCUMENTS = 12_000
@@ -184,4 +184,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return with_score(docs, train(docs, labels), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    """The documents that score THRESHOLD or more, with all their columns."""
+    return unboxed(with_score(boxed(docs, "text"), train(docs, labels)).where(F.col("score") >= THRESHOLD))
