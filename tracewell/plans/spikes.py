@@ -8,6 +8,7 @@ from tracewell.operators import events as E
 from tracewell.operators import segments as G
 from tracewell.operators import threshold as H
 from tracewell.sources import standins as S
+from tracewell.sources.lineage import cut
 
 from .parts import PEAKS, REC, SCORED, SPIKES, TR, otsu_double
 from .registry import add
@@ -74,7 +75,7 @@ add("zscore_range", "stack_id:l p01:5 p99:5", lambda s, d: G.display_range(G.ali
 def pipeline(spark, sf_dir):
     """Peaks to categories: the aligned median z-score of every stack, offset and pixel, and its
     category by two thresholds of the stack."""
-    median = G.aligned_median(scored(spark, sf_dir)).select("stack_id", "rel", "y", "x", "n", F.round("median_z", 5).alias("median_z"))
+    median = cut(G.aligned_median(scored(spark, sf_dir)).select("stack_id", "rel", "y", "x", "n", F.round("median_z", 5).alias("median_z")))
     both = median.join(H.otsu_double(median, "median_z"), "stack_id")
     return both.withColumn("category", F.when(F.col("median_z") > F.col("bright"), 2).when(F.col("median_z") > F.col("dim"), 1).otherwise(0))
 
