@@ -43,7 +43,10 @@ COUNTED, RECURS = 4_000_000, 4
 #: A shingle is frequent from this count, or from total / FREQUENT on: at most FREQUENT of them,
 #: 8 MB, are broadcast.
 FREQUENT_FROM, FREQUENT = 256, 1 << 20
-TILE = 1024
+TILE = 512
+#: Documents of a tile from which its rows carry signatures, so that pairs meet them at once;
+#: words of signatures compared at a time.
+LARGE, WORDS_AT_ONCE = 16, 1 << 21
 FACTS = "doc_id long, n int, h1 long, h2 long, m1 long, m2 long, bits binary, shingle long, count long"
 _FACTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
 _MIX1, _MIX2, _STEP = (np.uint64(v) for v in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -205,7 +208,8 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, total: int) -> DataFrame:
-    """Written: (shingle, doc_id, n, pos) of prefix shingles that two or more documents share.
+    """Written: (shingle, doc_id, n, pos, m) of prefix shingles that two or more documents share,
+    m counting them.
 
     A task emits equal sets once. Frequent shingles stand last in the order.
     """
@@ -249,19 +253,55 @@ def postings(docs: DataFrame, frequent: np.ndarray, total: int) -> DataFrame:
         kept = np.zeros(len(key), bool)
         kept[1:] |= same
         kept[:-1] |= same
-        yield from all_rows.take(pa.array(order[kept])).to_batches()
+        runs = np.diff(np.flatnonzero(np.concatenate([[True], ~same, [True]])))
+        held = np.repeat(runs, runs).astype(np.int32)[kept]
+        yield from all_rows.take(pa.array(order[kept])).append_column("m", pa.array(held)).to_batches()
 
     columns = "shingle long, doc_id long, n int, pos int"
     dealt = _rows(docs).mapInArrow(emit, columns).repartition(parts(spark, total // 4), "shingle")
-    return cut(dealt.mapInArrow(shared, columns), "ngram-postings")
+    return cut(dealt.mapInArrow(shared, f"{columns}, m int"), "ngram-postings")
+
+
+class Signatures:
+    """The signatures of a tile's documents, one matrix for each length. A document also stands,
+    folded, in the matrix of half its length: sizes that may link are less than a factor of two
+    apart."""
+
+    def __init__(self, bits: list[bytes]):
+        self.size = np.array([len(b) for b in bits])
+        self.row: dict[int, np.ndarray] = {}
+        self.words: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            for length in (size, size // 2):
+                if length < 8 or length in self.words:
+                    continue
+                own, twice = np.flatnonzero(self.size == length), np.flatnonzero(self.size == 2 * length)
+                rows = [np.frombuffer(bits[k], np.uint8) for k in own]
+                rows += [np.bitwise_xor(*np.frombuffer(bits[k], np.uint8).reshape(2, length)) for k in twice]
+                at = np.full(len(bits), -1)
+                at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+                self.row[length], self.words[length] = at, np.stack(rows).view(np.uint64)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Set bits of each pair's XOR: at most the number of shingles that only one has."""
+        out = np.zeros(len(x), np.int64)
+        length = np.minimum(self.size[x], self.size[y])
+        for size in np.unique(length).tolist():
+            mine, words, at = np.flatnonzero(length == size), self.words[size], self.row[size]
+            step = max(1, WORDS_AT_ONCE // words.shape[1])
+            for k in range(0, len(mine), step):
+                part = mine[k : k + step]
+                out[part] = np.bitwise_count(words[at[x[part]]] ^ words[at[y[part]]]).sum(1)
+        return out
 
 
 def tile_pairs(lists: DataFrame, one_each: bool) -> DataFrame:
-    """Candidates (a, b) of the postings with their components (column component).
+    """Candidates (a, b) of the postings with columns component and, in large tiles, bits.
 
-    one_each: one document stands for each component of a tile. A pair is a candidate if sizes
-    and the shingle's positions allow a link and the components differ; the pair's first shared
-    prefix shingles may give it several times within different tasks.
+    one_each: one document stands for each component of a tile. A pair is a candidate if the
+    components differ, sizes and the shingle's positions allow a link (it lies in the prefixes
+    that two sets of these sizes need, and leaves room for enough more) and, in large tiles,
+    the signatures do.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,35 +309,41 @@ def tile_pairs(lists: DataFrame, one_each: bool) -> DataFrame:
         if whole is None or not whole.num_rows:
             return
         key, doc, n, pos, comp = (whole.column(c).to_numpy().astype(np.int64) for c in ("shingle", "doc_id", "n", "pos", "component"))
+        bits = whole.column("bits").combine_chunks()
         order = np.lexsort((doc, n, comp, key) if one_each else (doc, n, key))
-        key, doc, n, pos, comp = (x[order] for x in (key, doc, n, pos, comp))
         if one_each:
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
-            key, doc, n, pos, comp = (x[first] for x in (key, doc, n, pos, comp))
-            order = np.lexsort((doc, n, key))
-            key, doc, n, pos, comp = (x[order] for x in (key, doc, n, pos, comp))
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            k, c = key[order], comp[order]
+            order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])]
+            order = order[np.lexsort((doc[order], n[order], key[order]))]
+        key, doc, n, pos, comp = (x[order] for x in (key, doc, n, pos, comp))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
+        mixed = np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)
         found: list[np.ndarray] = []
         size = 0
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            if (comp[lo:hi] == comp[lo]).all():
-                continue
+        for lo, hi in zip(starts[mixed], ends[mixed], strict=True):
+            large = bits[int(order[lo])].is_valid
+            signatures = Signatures(bits.take(pa.array(order[lo:hi])).to_pylist()) if large else None
             for i in range(lo, hi, TILE):
                 i2 = min(i + TILE, hi)
                 for j in range(i, hi, TILE):
                     j2 = min(j + TILE, hi)
                     if UNION_PARTS * n[i2 - 1] < LINK_PARTS * n[j]:
                         break
-                    n1, n2 = n[i:i2, None], n[None, j:j2]
+                    n1, n2, p1, p2 = n[i:i2, None], n[None, j:j2], pos[i:i2, None], pos[None, j:j2]
+                    least = needed(n1, n2)
                     fits = (UNION_PARTS * n1 >= LINK_PARTS * n2) & (comp[i:i2, None] != comp[None, j:j2])
-                    fits &= np.minimum(n1 - pos[i:i2, None], n2 - pos[None, j:j2]) + np.minimum(pos[i:i2, None], pos[None, j:j2]) >= needed(n1, n2)
+                    fits &= (p1 <= n1 - least) & (p2 <= n2 - least)
+                    fits &= np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2) >= least
                     if i == j:
                         fits &= np.arange(i, i2)[:, None] < np.arange(j, j2)[None]
                     x, y = np.nonzero(fits)
+                    x, y = x + i, y + j
+                    if large and len(x):
+                        close = (n[x] + n[y] - signatures.differ(x - lo, y - lo)) // 2 >= needed(n[x], n[y])
+                        x, y = x[close], y[close]
                     if len(x):
-                        x, y = doc[i + x], doc[j + y]
+                        x, y = doc[x], doc[y]
                         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                         size += len(x)
             if size > 500_000:
@@ -308,8 +354,7 @@ def tile_pairs(lists: DataFrame, one_each: bool) -> DataFrame:
             once = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
 
-    spark = lists.sparkSession
-    dealt = lists.select("shingle", "doc_id", "n", "pos", "component").repartition(parts(spark), "shingle")
+    dealt = lists.select("shingle", "doc_id", "n", "pos", "component", "bits").repartition(parts(lists.sparkSession), "shingle")
     return dealt.mapInArrow(pairs, "a long, b long").where("a != b").distinct()
 
 
@@ -344,7 +389,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     lists = postings(docs, frequent, total)
     release(spark)
     for one_each in (True, False):
-        more = verify(docs, signatures, tile_pairs(label(lists, found), one_each))
+        tiles = label(lists, found).join(signatures.select("doc_id", "bits"), "doc_id").withColumn("bits", F.when(F.col("m") >= LARGE, F.col("bits")))
+        more = verify(docs, signatures, tile_pairs(tiles, one_each))
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(known.union(more))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
