@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, boxed, cut, text_of, unboxed
+from .common import BROADCAST_IDS, WORD_PATTERN, boxed, cut, text_of, unboxed
 
 #: Documents that the exact choice at the end of a partial pass looks at, on average.
 LAST_DOCUMENTS = 500
+#: Patterns up to which the plan's rows are broadcast (some hundred bytes each).
+BROADCAST_PATTERNS = 50_000
 #: Source weights in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -78,8 +80,9 @@ def min_cost_flow(supply: dict[object, int], members: dict[object, tuple], targe
                     heapq.heappush(heap, (new, tie := tie + 1, b))
         if "end" not in best:
             break
-        for node, cost in best.items():
-            potential[node] += cost
+        far = max(best.values())
+        for node in list(graph):
+            potential[node] += best.get(node, far)
         amount, node = 1 << 62, "end"
         while node != "start":
             a, i = came[node]
@@ -145,7 +148,10 @@ class Mix:
         for p, n, w in held:
             taken = sum(v for (q, _, _), v in self.flow.items() if q == p)
             plan.append((list(p), *(divmod(taken, w) if w else (1, 0)), max(1, n // LAST_DOCUMENTS)))
-        self.plan = spark.createDataFrame(plan, "_p array<string>, _whole long, _part long, _cells long")
+        # One pattern may hold a third of all rows, so rows aren't dealt out by it: the plan goes
+        # to them, after a check of its size.
+        self.to_rows = F.broadcast if len(held) <= BROADCAST_PATTERNS else lambda df: df
+        self.plan = self.to_rows(spark.createDataFrame(plan, "_p array<string>, _whole long, _part long, _cells long"))
         cells = self._with_cells(self.rows).where("_part > 0").groupBy("_pattern", "_part", "_cell").agg(F.sum("_size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("_pattern").orderBy("_cell"))
         # The cell of its seeded order in which a pattern's partial pass ends.
@@ -154,12 +160,15 @@ class Mix:
             .select(F.col("_pattern").alias("_q"), F.col("_cell").alias("_end"), (F.col("_part") - F.col("upto") + F.col("words")).alias("_left")),
             "mix-ends",
         )
+        self.ends = self.to_rows(self.ends)
 
         def choose(pdf: pd.DataFrame) -> pd.DataFrame:
             return last_choice(pdf, int(pdf["_left"].iloc[0])).assign(_extra=True)
 
         last = self._with_ends(self._with_cells(self.rows)).where("_cell = _end").select("doc_id", "_pattern", F.col("_size").alias("size"), "_left")
         self.extra = cut(last.groupBy("_pattern").applyInPandas(choose, "doc_id long, _extra boolean").withColumnRenamed("doc_id", "_id"), "mix-extra")
+        if self.extra.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            self.extra = F.broadcast(self.extra)
 
     def _with_cells(self, rows: DataFrame) -> DataFrame:
         rows = rows.join(self.plan, F.col("_pattern").eqNullSafe(F.col("_p"))).drop("_p")
@@ -201,7 +210,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     mix = Mix(docs, one_source(), single_source)
     listed = [(list(p), w, mix.wanted[p[0]]) for p, w in mix.words.items()]
     listed = docs.sparkSession.createDataFrame(listed, "_s array<string>, source_size long, target double")
-    rows = mix.copies(mix.rows).join(listed, F.col("_pattern").eqNullSafe(F.col("_s")))
+    rows = mix.copies(mix.rows).join(mix.to_rows(listed), F.col("_pattern").eqNullSafe(F.col("_s")))
     return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
