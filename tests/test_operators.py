@@ -189,6 +189,7 @@ def test_zscore_of_a_flat_baseline(spark):
 def test_thresholds_of_flat_and_two_valued_stacks(spark):
     flat = frame(spark, np.full((4, 4), 7.0))
     assert threshold.otsu_double(flat, "i").first()[1:] == (7.0, 7.0)
+    assert threshold.li_double(flat, "i").first()[1:] == (7.0, 7.0)
     two = frame(spark, np.array([[0.0] * 8, [10.0] * 8]))
     assert 0 < threshold.otsu(two, "i").first().threshold < 10
     assert 0 < threshold.li(two, "i").first().threshold < 10

@@ -65,12 +65,24 @@ def li(px: DataFrame, value: str, name: str = "threshold", rounds: int = 30, key
     lists = counts.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.min("v").alias("lo"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
 
-    def weigh(above: bool, t: Column, what: str) -> Column:
-        return F.aggregate("h", F.lit(0.0), lambda acc, e: acc + F.when((e.v > t) if above else (e.v <= t), e.n * (e.v - F.col("lo") if what == "s" else F.lit(1.0))).otherwise(0.0))
+    names = ("s0", "n0", "s1", "n1")  # sums and counts up to the threshold and above it
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in names))
+
+    def add_up(t: Column):
+        def one(acc: Column, e: Column) -> Column:
+            mass = e.n * (e.v - F.col("lo"))
+            low = (acc.s0 + mass, acc.n0 + e.n, acc.s1, acc.n1)
+            high = (acc.s0, acc.n0, acc.s1 + mass, acc.n1 + e.n)
+            return F.when(e.v <= t, F.struct(*(v.alias(k) for k, v in zip(names, low, strict=True)))).otherwise(F.struct(*(v.alias(k) for k, v in zip(names, high, strict=True))))
+
+        return F.aggregate("h", zero, one)
 
     def step(t: Column, _: Column) -> Column:
-        low, high = weigh(False, t, "s") / weigh(False, t, "n"), weigh(True, t, "s") / weigh(True, t, "n")
-        return F.coalesce(F.col("lo") + (low - high) / (F.log(low) - F.log(high)), t)
+        def moved(q: Column) -> Column:
+            low, high = F.try_divide(q.s0, q.n0), F.try_divide(q.s1, q.n1)
+            return F.coalesce(F.col("lo") + F.try_divide(low - high, F.log(low) - F.log(high)), t)
+
+        return F.element_at(F.transform(F.array(add_up(t)), moved), 1)  # the sums are made once a round
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("mean"), step)
     return lists.select(key, found.alias(name))
