@@ -64,7 +64,9 @@ class DigestIndex:
         fresh = groups.hint("merge").join(self.read(), "digest", "left_anti")
         self._append(fresh.select("digest", F.col("best.doc_id").alias("keep_id"), "n_rows", F.lit(batch).alias("batch")))
         known = self.read().select("digest", "keep_id", (F.col("batch") == batch).alias("fresh"))
-        decided = groups.select("digest", "n_rows", F.col("best.row").alias("best_row")).join(known, "digest")
+        # Written without buckets: a join whose both sides are dealt out anew can be split where
+        # a digest holds a great share of the rows.
+        decided = cut(groups.select("digest", "n_rows", F.col("best.row").alias("best_row")).join(known, "digest"), "digest-decisions")
         return rows.join(decided, "digest").select(
             "doc_id", "row", "digest", "keep_id", F.col("n_rows").alias("group_size"),
             (F.col("fresh") & (F.col("row") == F.col("best_row"))).alias("kept"),
