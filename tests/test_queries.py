@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tracewell.plans import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def duck():
 
 def rows(pdf):
     columns = sorted(pdf.columns)
-    return columns, sorted(tuple("" if v is None or v != v else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in pdf[columns].astype(object).itertuples(index=False))
+    return columns, sorted(tuple("" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in pdf[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
