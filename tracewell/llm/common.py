@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -15,13 +18,32 @@ BROADCAST_IDS = 2_000_000
 #: The driver's default when a session names no checkpoint folder (tests only).
 FALLBACK_DIR = "file:///tmp/checkpoints/tracewell"
 #: Bytes of text that a Python task handles at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: The bytes that separate words, and the upper-case letters that are folded.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The Python worker's cache for one operator.
+
+    Spark reuses workers, so one may serve several operators in turn; taking an operator's cache
+    drops those of the others, and gives their memory back.
+    """
+    if owner not in _caches:
+        if _caches:
+            _caches.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+                ctypes.CDLL(None).malloc_trim(0)
+        _caches[owner] = {}
+    return _caches[owner]
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under spark.checkpoint.dir."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, keep_ids, parts, remove, shared_dir, slices, text_of
+from .common import ASCII_LOWER, cut, keep_ids, parts, remove, shared_dir, slices, text_of, worker_cache
 from .components import components
 
 WORDS = 5
 #: Link when UNION_PARTS * intersection >= LINK_PARTS * union.
 LINK_PARTS, UNION_PARTS = 75, 100
 #: Shingles counted together in a task, and the count there from which one may be frequent.
-COUNTED, RECURS = 4_000_000, 4
+COUNTED, RECURS = 2_000_000, 3
 #: A shingle is frequent from this count, or from total / FREQUENT on: at most FREQUENT of them,
 #: 8 MB, are broadcast.
 FREQUENT_FROM, FREQUENT = 256, 1 << 20
@@ -60,6 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted uint64; fewer words than five make one shingle."""
+    worker_cache("shingles")
     words = [t.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() for t in texts]
     flat = np.empty(sum(map(len, words)), object)
     flat[:] = list(chain.from_iterable(words))

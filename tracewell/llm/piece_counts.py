@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import slices, text_of, worker_cache
 
 END, SYMBOLS, END_MARK = 256, 257, "</w>"
 #: Letters; single digits; runs of anything else that is not white space.
@@ -119,14 +119,12 @@ class Automaton:
         return out
 
 
-_workers: dict[str, tuple[Automaton, dict[str, int]]] = {}
-
-
 def count_texts(path: str, texts: list[str]) -> tuple[list[int], list[int]]:
     """(words, pieces) of each text; a word the vocabulary cannot spell is one piece."""
-    if path not in _workers:
-        _workers[path] = Automaton(vocabulary(path)), {}
-    automaton, known = _workers[path]
+    held = worker_cache("pieces")
+    if path not in held:
+        held[path] = Automaton(vocabulary(path)), {}
+    automaton, known = held[path]
     if len(known) > CACHE_WORDS:
         known.clear()
     found = [WORDS.findall(t.lower()) for t in texts]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, keep_ids, slices, text_of, unboxed
+from .common import boxed, keep_ids, slices, text_of, unboxed, worker_cache
 
 #: Labelled documents that the trees are grown on, at most about this many.
 TRAIN_DOCUMENTS = 12_000
@@ -44,6 +44,7 @@ FEATURES = (
 
 def features(texts: list[str]) -> np.ndarray:
     """One row of FEATURES for each text; an empty text has zeros."""
+    worker_cache("quality")
     out = np.zeros((len(texts), len(FEATURES)), np.float32)
     for i, text in enumerate(texts):
         data = text.encode("utf-8", "surrogatepass")

@@ -13,6 +13,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Letters among the plain characters, and all plain characters.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ–—‘’“”…]*")
@@ -25,9 +27,6 @@ FOLDED = {"word_bpe_49k.json"}
 #: Distinct pieces a worker keeps (about 100 MB); beyond it, or 32 characters each on
 #: average, the cache starts anew.
 CACHE_PIECES = 400_000
-_encoders: dict[str, Encoder] = {}
-
-
 class Encoder:
     """Ids of whole texts, without special tokens; special strings in a text are ordinary text."""
 
@@ -105,9 +104,10 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, path.rsplit("/", 1)[-1])
-    return _encoders[path]
+    held = worker_cache("tokens")
+    if path not in held:
+        held[path] = Encoder(path, path.rsplit("/", 1)[-1])
+    return held[path]
 
 
 def file_path(file: str) -> str:
