@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Ids above this count are never broadcast (8 bytes each, so 16 MB at most).
 BROADCAST_IDS = 2_000_000
-#: The driver's default when a session names no checkpoint folder (tests only).
+#: Where a session with a local master names no checkpoint folder (tests only).
 FALLBACK_DIR = "file:///tmp/checkpoints/tracewell"
+#: Bytes of input for a shuffle partition whose number follows from the input's size.
+TASK_BYTES = 128 << 20
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4 << 20
 #: The bytes that separate words, and the upper-case letters that are folded.
@@ -46,7 +48,11 @@ def worker_cache(owner: str) -> dict:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under spark.checkpoint.dir."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = FALLBACK_DIR
     if "://" not in root and not root.startswith("file:"):
         default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
         root = ("file://" if default.startswith("file:") else default.rstrip("/")) + root
@@ -90,6 +96,16 @@ def parts(spark: SparkSession, rows: int = 0, per_task: int = 1_000_000) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def size_parts(df: DataFrame, per_task: int = TASK_BYTES) -> int:
+    """Number of shuffle partitions for df: the session's setting, or more where df's size in
+    bytes (the plan's statistics, or a scan where they are unknown) asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        texts = [F.octet_length(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema]
+        size = df.agg(F.sum(sum((F.coalesce(t, F.lit(0)).cast("long") for t in texts), F.lit(0)))).first()[0] or 0
+    return max(parts(df.sparkSession), -(-size // per_task))
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, anti: bool = False, column: str = "doc_id") -> DataFrame:
     """Rows whose id is in ids (or is not). ids is small in most corpora and is then broadcast
     after a count; above BROADCAST_IDS the same join shuffles both sides."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_column, parts, slices, text_of
+from .common import id_column, size_parts, slices, text_of
 from .tokens import encoder
 
 MASK_DELTA = 0xA282EAD8  # fixed value: the offset of masked checksums
@@ -67,8 +67,10 @@ def open_folder(uri: str):
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None) -> DataFrame:
     """Encode every whole text (null: empty) and write shards in ascending doc_id under folder.
 
-    Rows without an id come first, rows that repeat an id follow each other by text; an empty
-    table gives no shard. Other columns are ignored. Returns the manifest, already written.
+    Rows without an id come first; rows that repeat an id follow each other in an order fixed by
+    their texts, and may lie in several shards, so neither null ids nor one repeated id land in
+    one task. Shards take about TASK_BYTES of text. An empty table gives no shard. Other columns
+    are ignored. Returns the manifest, already written.
     """
     spark = docs.sparkSession
 
@@ -80,19 +82,18 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
         store, root = open_folder(folder)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
         out, offsets, at, tokens = None, [], 0, 0
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
+        tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
         for batch in slices(batches):
             if out is None:
                 store.create_dir(root, recursive=True)
-                out = store.open_output_stream(f"{root}/.{name}.tmp")
-            ids = enc.encode(batch.column("text").to_pylist())
-            chunk = []
-            for doc_id, row in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                chunk.append(frame(doc_id, row := np.concatenate([row, tail]), wide))
+                out = store.open_output_stream(f"{root}/.{name}.tmp", buffer_size=1 << 20)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                row = np.frombuffer(enc.encode_one(text.as_py()) + tail, "<u4")
+                framed = frame(doc_id, row, wide)
+                out.write(framed)
                 offsets.append(at)
-                at += len(chunk[-1])
+                at += len(framed)
                 tokens += len(row)
-            out.write(b"".join(chunk))
         if out is not None:
             out.close()
             with store.open_output_stream(f"{root}/{name}.idx") as index:
@@ -101,7 +102,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "n_records": len(offsets), "n_tokens": tokens, "n_bytes": at}], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(size_parts(rows), *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
