@@ -33,14 +33,48 @@ def test_exact_documents_keep_one_of_each_text(odd, none):
     assert exact_dedup.dedup(none).count() == 0 and exact_dedup.dedup_report(none).count() == 0
 
 
-def test_index_persists(spark):
+def test_index_persists_and_batches_repeat(spark):
     one = spark.createDataFrame([(5, "a"), (6, "A"), (7, "b")], "doc_id long, text string")
     two = spark.createDataFrame([(8, "B"), (9, "c"), (10, "c")], "doc_id long, text string")
     name = exact_dedup.index_name(spark)
-    assert sorted(r.doc_id for r in exact_dedup.DigestIndex(spark, name).ingest(one).where("kept").collect()) == [6, 7]
-    got = exact_dedup.DigestIndex(spark, name).ingest(two)
-    assert {(r.doc_id, r.keep_id, r.kept) for r in got.collect()} == {(8, 7, False), (9, 10, False), (10, 10, True)}
-    assert spark.table(name).count() == 3
+    for _ in range(2):  # a batch that is sent again, its first result lost, decides as before
+        got = exact_dedup.DigestIndex(spark, name).ingest(one, "one")
+        assert sorted(r.doc_id for r in got.where("kept").collect()) == [6, 7]
+    for _ in range(2):
+        got = exact_dedup.DigestIndex(spark, name).ingest(two, "two")
+        assert {(r.doc_id, r.keep_id, r.kept) for r in got.collect()} == {(8, 7, False), (9, 10, False), (10, 10, True)}
+        assert exact_dedup.DigestIndex(spark, name).read().count() == 3
+    assert exact_dedup.DigestIndex(spark, name).ingest(one, "three").where("kept").isEmpty()
+    exact_dedup.DigestIndex(spark, name).drop()
+
+
+def test_half_appended_batch_is_completed(spark):
+    name = exact_dedup.index_name(spark)
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, name)
+    index.ingest(rows.where("doc_id = 1"), "x")  # as if the writer had died after the first digest
+    assert sorted(r.doc_id for r in index.ingest(rows, "x").where("kept").collect()) == [1, 3]
+    assert index.read().count() == 2
+    index.drop()
+
+
+def test_index_compacts_and_leaves_no_table(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BATCHES", 2)
+    name = exact_dedup.index_name(spark)
+    for k in range(5):
+        got = exact_dedup.DigestIndex(spark, name).ingest(spark.createDataFrame([(k, f"t{k}"), (100 + k, "t0")], "doc_id long, text string"), f"b{k}")
+        assert got.where("kept").count() == (1 if k else 1)
+    index = exact_dedup.DigestIndex(spark, name)
+    assert index.read().count() == 5 and index.table() != f"{name}_g0"
+    index.drop()
+    exact_dedup.dedup_report(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    assert not [t.name for t in spark.catalog.listTables(pattern="digest_index_*")]
+
+
+def test_hot_groups_are_decided_alike(spark, monkeypatch, odd):
+    want = sorted(map(repr, exact_dedup.dedup_report(odd).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 1)
+    assert sorted(map(repr, exact_dedup.dedup_report(odd).collect())) == want
 
 
 @pytest.mark.parametrize("seed", range(3))
