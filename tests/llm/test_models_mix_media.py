@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import language, media, mixing, piece_counts, quality, sharding, webp
-from tracewell.llm.common import shared_dir
+from tracewell.llm.common import hadoop_path, shared_dir
 from tracewell.llm.tokens import file_path
 
 DATA = "/root/testdata/sf0.01"
@@ -390,24 +391,56 @@ def test_compaction_keeps_rows_and_old_versions(spark, docs):
     assert store.compact() > 0 and len(store.manifest()[1]) < before
     assert all(len(r) < 3 for r in store.runs(store.manifest()[1])) or not store.runs(store.manifest()[1])
     assert sorted(map(str, store.read().collect())) == want == sorted(map(str, store.read(old).collect()))
-    assert store.vacuum() > 0 and store.vacuum() == 0
+    assert store.vacuum() == 0 and store.vacuum(versions=100, spared=0) == 0
+    assert store.vacuum(spared=0) > 0 and store.vacuum(spared=0) == 0
     assert sorted(map(str, store.read().collect())) == want
 
 
+def test_manifests_are_changes_and_now_and_then_whole(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "CHECKPOINT", 3)
+    store = sharding.ShardStore(spark, shared_dir(spark, "t"), fanout=3)
+    for k in range(7):
+        store.append(docs.where(f"doc_id % 7 = {k}").coalesce(1))
+    assert [("shards" in store._load(v)) for v in range(1, 8)] == [False, False, True, False, False, True, False]
+    assert all(store.read(v).count() == docs.where(f"doc_id % 7 < {v}").count() for v in (1, 3, 5, 7))
+    store.compact()
+    assert len(store.manifest()[1]) < 7 and store.read().count() == docs.count()
+
+
 def test_commits_conflict_and_schemas_hold(spark, odd, none):
     store = sharding.ShardStore(spark, shared_dir(spark, "t"))
     with pytest.raises(ValueError):
         store.read()
     base = store.append(odd)
     schema, live = store.manifest(base)
-    store._commit(base, schema, live)
-    with pytest.raises(sharding.Conflict):
-        store._commit(base, schema, live)
+    content = {"schema": schema.jsonValue(), "add": [], "remove": []}
+    assert store._take(base + 1, content) and not store._take(base + 1, content)
+    store._commit(schema, [], live)
+    with pytest.raises(sharding.Conflict):  # merged by another writer in the meantime
+        store._commit(schema, [], live)
     with pytest.raises(ValueError):
         store.append(odd.select("doc_id"))
+    store.append(odd)
     store.append(none)
     assert store.read().count() == odd.count()
 
 
-def test_shard_report_of_a_file(spark, docs):
+def test_dead_writers_block_nobody_and_files_in_flight_stay(spark, docs):
+    store = sharding.ShardStore(spark, shared_dir(spark, "t"))
+    store.append(docs)
+    fs, draft = hadoop_path(spark, f"{store.root}/manifests/draft-of-a-dead-writer")
+    fs.create(draft).close()
+    in_flight = store._write(docs)  # written, not yet committed
+    assert store.append(docs) == 2 and store.vacuum() == 0
+    assert store._commit(docs.schema, in_flight) == 3
+    assert store.read().count() == 3 * docs.count()
+
+
+def test_shard_report(spark, docs, odd, none):
     assert sharding.shard_report(docs).count() == docs.count()
+    some = docs.where("doc_id < 100").withColumn("text", F.upper("text"))  # a plan, not just files
+    got = sharding.shard_report(some).collect()
+    assert {r.doc_id: r.text_sha256 for r in got} == {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in some.collect()}
+    assert sharding.shard_report(odd, odd).count() == 2 * odd.count() and sharding.shard_report(none).count() == 0
+    assert sharding.shard_report(odd.select("doc_id", "text")).where("lang is not null").isEmpty()
+    assert sum(w.count() for w in sharding.file_waves(spark, f"{DATA}/documents.parquet")) == docs.count()

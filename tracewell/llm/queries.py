@@ -16,9 +16,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard_report
+    """The table's files come in waves, each compacted with what is there. Null texts are empty;
+    repeated rows stay; an empty table gives no rows."""
+    from .sharding import file_waves, shard_report
 
-    return shard_report(table(spark, sf_dir, "documents"))
+    return shard_report(*file_waves(spark, f"{sf_dir}/documents.parquet"))
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
