@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,10 @@ def test_ngram_components_match_all_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "FREQUENT_FROM", 6 if seed % 2 else 256)
     monkeypatch.setattr(ngram_join, "RECURS", 2)
     monkeypatch.setattr(ngram_join, "TILE", 4)
+    if seed % 2:  # signatures and pairs of blocks in nearly all tiles, hot leaders
+        monkeypatch.setattr(ngram_join, "LARGE", 3)
+        monkeypatch.setattr(ngram_join, "BLOCK", 5)
+        monkeypatch.setattr(ngram_join, "HOT_ROWS", 2)
     rows = varied(seed)
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows)
@@ -163,6 +168,27 @@ def test_bounds_never_lose_a_link():
         if truth:
             assert common >= ngram_join.needed(len(a), len(b))
             assert ngram_join.may_link(len(a), ngram_join.signature(a), len(b), ngram_join.signature(b))
+        sides = [(len(x), ngram_join.signature(x)) for x in (a, b, a)]
+        want = [ngram_join.may_link(*sides[k], *sides[k + 1]) for k in (0, 1)]
+        got = ngram_join.may_link_all(np.array([len(a), len(b)]), [sides[0][1], sides[1][1]], np.array([len(b), len(a)]), [sides[1][1], sides[2][1]])
+        assert got.tolist() == want
+
+
+def test_folded_signatures_stay_bounded_and_sound():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 2**63, 9000).astype(np.uint64))
+    b = np.concatenate([a[:8500], rng.integers(0, 2**63, 300).astype(np.uint64)])
+    x, y = (ngram_join.folded(ngram_join.signature(np.unique(s))) for s in (a, b))
+    assert len(x) == len(y) == ngram_join.FOLDED
+    assert ngram_join.may_link(len(a), x, len(np.unique(b)), y)
+
+
+def test_runs_stay_whole():
+    key = np.sort(np.random.default_rng(2).integers(0, 9, 200))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 7])], ["k"]) for k in range(0, 200, 7)]
+    got = [t.column("k").to_numpy() for t in ngram_join.runs_of(batches, ["k"], least=10)]
+    assert np.concatenate(got).tolist() == key.tolist()
+    assert all(x[-1] != y[0] for x, y in zip(got, got[1:]))
 
 
 def test_odd_rows(odd, none):

@@ -10,11 +10,14 @@ link when 100 * |intersection| >= 75 * |union|. The join finds every link's comp
 2. Documents of a size band that share a minimum are compared with one leader of their group,
    so that a large group of near copies becomes one component for a linear number of pairs.
 3. A second scan emits each set's prefix: the first n - ceil(3n/4) + 1 shingles in the order.
-   Two linked sets share one. Documents that share a prefix shingle form a tile, sorted by size;
-   only pairs of compatible sizes and positions, in different components, are candidates.
-   First one document stands for each component of a tile, then all do.
-4. A candidate is dropped if the set bits of its signatures' XOR, a lower bound of the
-   difference, leave too little overlap; the rest is decided by sorted-array intersection.
+   Two linked sets share one. Documents that share a prefix shingle form a tile, sorted by size.
+   Tiles of one component are dropped first; then one document stands for each component of a
+   tile, and last all do. Only pairs of compatible sizes and positions, in different components,
+   are candidates; in larger tiles the folded signatures must leave room for a link too. Rows come
+   to Python sorted, tile by tile; a tile over BLOCK rows is split into pairs of blocks, each a
+   tile of its own, so no task holds or compares more than two blocks.
+4. A candidate is dropped if the set bits of its whole signatures' XOR, a lower bound of the
+   difference, leave too little overlap; the rest is decided by intersecting the sorted arrays.
 
 Nothing is sampled or capped: steps 1 to 4 lose no link, the order of shingles and step 2 only
 save work. Hash collisions of 64-bit shingles within one pair are the only approximation.
@@ -29,7 +32,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, cut, keep_ids, parts, remove, shared_dir, slices, text_of, worker_cache
@@ -43,10 +46,15 @@ COUNTED, RECURS = 2_000_000, 3
 #: A shingle is frequent from this count, or from total / FREQUENT on: at most FREQUENT of them,
 #: 8 MB, are broadcast.
 FREQUENT_FROM, FREQUENT = 256, 1 << 20
-TILE = 512
-#: Documents of a tile from which its rows carry signatures, so that pairs meet them at once;
-#: words of signatures compared at a time.
-LARGE, WORDS_AT_ONCE = 16, 1 << 21
+#: Rows compared with rows at a time, rows of a tile that one task takes.
+TILE, BLOCK = 512, 8192
+#: Documents of a tile from which its rows carry signatures, folded to FOLDED bytes at most (so
+#: that they grow with a text's length, not its square); words of them compared at a time.
+LARGE, FOLDED, WORDS_AT_ONCE = 16, 256, 1 << 21
+#: Sets that a task remembers so as to emit equal ones once.
+REMEMBERED = 1 << 17
+#: A leader of this many sets, and of more than a HOT_SHARE-th of all, is broadcast.
+HOT_ROWS, HOT_SHARE = 500, 5000
 FACTS = "doc_id long, n int, h1 long, h2 long, m1 long, m2 long, bits binary, shingle long, count long"
 _FACTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
 _MIX1, _MIX2, _STEP = (np.uint64(v) for v in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -105,10 +113,33 @@ def may_link(n1: int, bits1: bytes, n2: int, bits2: bytes) -> bool:
     return (n1 + n2 - differ) // 2 >= needed(n1, n2)
 
 
+def folded(bits: bytes) -> bytes:
+    """A signature XOR-folded to FOLDED bytes at most: a parity bitmap of fewer bits."""
+    if len(bits) <= FOLDED:
+        return bits
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, FOLDED), axis=0).tobytes()
+
+
+def may_link_all(n1: np.ndarray, bits1: list[bytes], n2: np.ndarray, bits2: list[bytes]) -> np.ndarray:
+    """may_link for many pairs: those of equal signature lengths go together."""
+    out = np.zeros(len(n1), bool)
+    shape = np.array([(len(x), len(y)) for x, y in zip(bits1, bits2, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(shape, axis=0).tolist():
+        mine, short = np.flatnonzero((shape[:, 0] == la) & (shape[:, 1] == lb)), min(la, lb)
+        for k in range(0, len(mine), step := max(1, WORDS_AT_ONCE // max(la, lb))):
+            part = mine[k : k + step]
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([bits[i] for i in part]), np.uint8).reshape(len(part), -1, short), axis=1) for bits in (bits1, bits2))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            out[part] = (n1[part] + n2[part] - differ) // 2 >= needed(n1[part], n2[part])
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(a) + len(b)
-    common = both - len(np.union1d(a, b))
-    return UNION_PARTS * common >= LINK_PARTS * (both - common)
+    """Whether two sorted arrays link: each item of the shorter one is looked up in the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
+    return UNION_PARTS * common >= LINK_PARTS * (len(a) + len(b) - common)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -172,13 +203,13 @@ def verify(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFram
     spark = docs.sparkSession
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n1, n2, b1, b2 = (batch.column(c).to_pylist() for c in ("n1", "n2", "b1", "b2"))
-            kept = pa.array([may_link(*x) for x in zip(n1, b1, n2, b2, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(kept)
+        for batch in slices(slices(batches, "b1"), "b2"):
+            n1, n2 = (batch.column(c).to_numpy().astype(np.int64) for c in ("n1", "n2"))
+            kept = may_link_all(n1, batch.column("b1").to_pylist(), n2, batch.column("b2").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "s1"):
+        for batch in slices(slices(batches, "s1"), "s2"):
             kept = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("s1"), batch.column("s2"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
@@ -196,23 +227,53 @@ def verify(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFram
     return found
 
 
-def leader_pairs(classes: DataFrame) -> DataFrame:
-    """Each set with the leader of the sets of its size band that share a minimum, two ways."""
+def leader_pairs(classes: DataFrame, n_classes: int) -> DataFrame:
+    """Each set with the leader of the sets of its size band that share a minimum, two ways.
+    Leaders of many sets (at most HOT_SHARE of each kind) are broadcast to them."""
     scale = F.log(F.col("n").cast("double")) / float(np.log(4 / 3))
-    pairs = None
+    key, found, hot = ["m", "band"], [], F.col("k") > max(HOT_ROWS, n_classes // HOT_SHARE)
     for minimum, shift in (("m1", 0.0), ("m2", 0.5)):
         keyed = classes.where("n > 0").select(F.col("rep").alias("a"), F.col(minimum).alias("m"), F.floor(scale + shift).alias("band"))
-        leaders = keyed.groupBy("m", "band").agg(F.min("a").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
-        some = keyed.join(leaders, ["m", "band"]).where("a != b").select("a", "b")
-        pairs = some if pairs is None else pairs.union(some)
-    return pairs.distinct()
+        leaders = cut(keyed.groupBy(*key).agg(F.min("a").alias("b"), F.count("*").alias("k")).where("k > 1"), "ngram-leaders")
+        often = F.broadcast(leaders.where(hot))
+        found.append(keyed.join(often, key).select("a", "b"))
+        found.append(keyed.join(often, key, "left_anti").join(leaders.where(~hot), key).select("a", "b"))
+    pairs = found[0].union(found[1]).union(found[2]).union(found[3])
+    return pairs.where("a != b").distinct()
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Whole runs of equal keys of sorted batches, some `least` rows of them at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        stop = np.zeros(whole.num_rows - 1, bool)
+        for k in keys:
+            v = whole.column(k).to_numpy()
+            stop |= v[1:] != v[:-1]
+        last = np.flatnonzero(stop)
+        if len(last):
+            yield whole.slice(0, int(last[-1]) + 1)
+            held = whole.slice(int(last[-1]) + 1).to_batches()
+            rows = sum(b.num_rows for b in held)
+        else:
+            held = whole.to_batches()
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, total: int) -> DataFrame:
-    """Written: (shingle, doc_id, n, pos, m) of prefix shingles that two or more documents share,
-    m counting them.
+    """Written: (shingle, doc_id, n, pos) of prefix shingles that two or more rows share.
 
-    A task emits equal sets once. Frequent shingles stand last in the order.
+    A task emits equal sets once, as far as it remembers them. Frequent shingles stand last in
+    the order.
     """
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(frequent)
@@ -229,6 +290,8 @@ def postings(docs: DataFrame, frequent: np.ndarray, total: int) -> DataFrame:
                 mark = (int(m.sum(dtype=np.uint64)), int(mix(m ^ _MIX2).sum(dtype=np.uint64)))
                 if mark in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(mark)
                 if len(last.value):
                     at = np.minimum(np.searchsorted(last.value, s), len(last.value) - 1)
@@ -244,23 +307,29 @@ def postings(docs: DataFrame, frequent: np.ndarray, total: int) -> DataFrame:
                     ["shingle", "doc_id", "n", "pos"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if all_rows is None or not all_rows.num_rows:
-            return
-        key = all_rows.column("shingle").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        same = key[1:] == key[:-1]
-        kept = np.zeros(len(key), bool)
-        kept[1:] |= same
-        kept[:-1] |= same
-        runs = np.diff(np.flatnonzero(np.concatenate([[True], ~same, [True]])))
-        held = np.repeat(runs, runs).astype(np.int32)[kept]
-        yield from all_rows.take(pa.array(order[kept])).append_column("m", pa.array(held)).to_batches()
+        last_key, held = None, None  # a run may go on in the next batch: its last row waits
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("shingle").to_numpy()
+            same = key[1:] == key[:-1]
+            kept = np.zeros(len(key), bool)
+            kept[1:] |= same
+            kept[:-1] |= same
+            if last_key is not None:
+                if key[0] == last_key[0]:
+                    kept[0] = True
+                if key[0] == last_key[0] or last_key[1]:
+                    yield held
+            last_key, held = (key[-1], bool(kept[-1])), batch.slice(batch.num_rows - 1)
+            kept[-1] = False
+            yield batch.filter(pa.array(kept))
+        if held is not None and last_key[1]:
+            yield held
 
     columns = "shingle long, doc_id long, n int, pos int"
-    dealt = _rows(docs).mapInArrow(emit, columns).repartition(parts(spark, total // 4), "shingle")
-    return cut(dealt.mapInArrow(shared, f"{columns}, m int"), "ngram-postings")
+    dealt = _rows(docs).mapInArrow(emit, columns).repartition(parts(spark, total // 4), "shingle").sortWithinPartitions("shingle")
+    return cut(dealt.mapInArrow(shared, columns), "ngram-postings")
 
 
 class Signatures:
@@ -296,69 +365,106 @@ class Signatures:
         return out
 
 
-def tile_pairs(lists: DataFrame, one_each: bool) -> DataFrame:
-    """Candidates (a, b) of the postings with columns component and, in large tiles, bits.
+def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame, one_each: bool) -> DataFrame:
+    """The postings of tiles that hold two components or more, as rows of (shingle, i, j, side,
+    doc_id, n, pos, component, bits).
 
-    one_each: one document stands for each component of a tile. A pair is a candidate if the
-    components differ, sizes and the shingle's positions allow a link (it lies in the prefixes
-    that two sets of these sizes need, and leaves room for enough more) and, in large tiles,
-    the signatures do.
+    one_each: one document stands for each component of a tile. i, j number the pair of blocks of
+    a large tile; side tells whose block it is (0: i, 1: j; other tiles are one block, i = j = 0).
     """
+    spark = lists.sparkSession
+    named = cut(lists.join(components_of, "doc_id"), "ngram-named")
+    rows = named.count()
+    dealt = named.repartition(parts(spark, rows), "shingle")
+    if one_each:
+        first = F.min(F.struct("n", "doc_id", "pos")).alias("r")
+        dealt = named.groupBy("shingle", "component").agg(first).select("shingle", "component", "r.*").repartition(parts(spark, rows), "shingle")
+    sizes = dealt.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("shingle", "m")
+    mixed = cut(dealt.join(sizes.hint("merge"), "shingle"), "ngram-mixed")
+    none = F.lit(None).cast("binary").alias("bits")
+    small = mixed.where(F.col("m") < LARGE).select("*", none)
+    large = mixed.where(F.col("m") >= LARGE).join(signatures.select("doc_id", F.col("folded").alias("bits")), "doc_id").select(*mixed.columns, "bits")
+    plain = small.unionByName(large.where(F.col("m") <= BLOCK)).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+    place = F.row_number().over(Window.partitionBy("shingle").orderBy("n", "doc_id", "pos")) - 1
+    blocked = large.where(F.col("m") > BLOCK).withColumns({"_b": F.floor(place / BLOCK).cast("int"), "_n": F.floor((F.col("m") - 1) / BLOCK).cast("int")})
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("_n")), lambda k: F.struct(F.least(k, F.col("_b")).alias("i"), F.greatest(k, F.col("_b")).alias("j"), (k < F.col("_b")).cast("int").alias("side"))))
+    blocked = blocked.withColumn("p", pair).select(*large.columns, "p.*")
+    return plain.unionByName(blocked).drop("m")
+
+
+def tile_pairs(tiles: DataFrame, rows: int) -> DataFrame:
+    """Candidates (a, b) of the tiles. A pair is a candidate if the components differ, sizes and
+    the shingle's positions allow a link (it lies in the prefixes that two sets of these sizes
+    need, and leaves room for enough more) and, where rows carry them, the signatures do.
+    """
+
+    def within(t: dict[str, np.ndarray], bits: list | None, lo: int, mid: int, hi: int) -> Iterator[np.ndarray]:
+        """Candidates between rows lo to mid and mid to hi, or, without a second block (mid = hi),
+        among rows lo to hi; both sorted by size."""
+        n, pos, comp, doc = t["n"], t["pos"], t["component"], t["doc_id"]
+        signatures = Signatures(bits[lo:hi]) if bits is not None and bits[lo] is not None else None
+        alone = mid == hi
+        for i in range(lo, mid, TILE):
+            i2 = min(i + TILE, mid)
+            for j in range(i if alone else mid, hi, TILE):
+                j2 = min(j + TILE, hi)
+                if UNION_PARTS * n[i2 - 1] < LINK_PARTS * n[j]:
+                    break
+                if UNION_PARTS * n[j2 - 1] < LINK_PARTS * n[i]:
+                    continue
+                n1, n2, p1, p2 = n[i:i2, None], n[None, j:j2], pos[i:i2, None], pos[None, j:j2]
+                least = needed(n1, n2)
+                fits = (UNION_PARTS * np.minimum(n1, n2) >= LINK_PARTS * np.maximum(n1, n2)) & (comp[i:i2, None] != comp[None, j:j2])
+                fits &= (p1 <= n1 - least) & (p2 <= n2 - least)
+                fits &= np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2) >= least
+                if alone and i == j:
+                    fits &= np.arange(i, i2)[:, None] < np.arange(j, j2)[None]
+                x, y = np.nonzero(fits)
+                x, y = x + i, y + j
+                if signatures is not None and len(x):
+                    close = (n[x] + n[y] - signatures.differ(x - lo, y - lo)) // 2 >= needed(n[x], n[y])
+                    x, y = x[close], y[close]
+                if len(x):
+                    yield np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1)
+
+    def once(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if whole is None or not whole.num_rows:
-            return
-        key, doc, n, pos, comp = (whole.column(c).to_numpy().astype(np.int64) for c in ("shingle", "doc_id", "n", "pos", "component"))
-        bits = whole.column("bits").combine_chunks()
-        order = np.lexsort((doc, n, comp, key) if one_each else (doc, n, key))
-        if one_each:
-            k, c = key[order], comp[order]
-            order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])]
-            order = order[np.lexsort((doc[order], n[order], key[order]))]
-        key, doc, n, pos, comp = (x[order] for x in (key, doc, n, pos, comp))
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(starts[1:], len(key))
-        mixed = np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)
         found: list[np.ndarray] = []
         size = 0
-        for lo, hi in zip(starts[mixed], ends[mixed], strict=True):
-            large = bits[int(order[lo])].is_valid
-            signatures = Signatures(bits.take(pa.array(order[lo:hi])).to_pylist()) if large else None
-            for i in range(lo, hi, TILE):
-                i2 = min(i + TILE, hi)
-                for j in range(i, hi, TILE):
-                    j2 = min(j + TILE, hi)
-                    if UNION_PARTS * n[i2 - 1] < LINK_PARTS * n[j]:
-                        break
-                    n1, n2, p1, p2 = n[i:i2, None], n[None, j:j2], pos[i:i2, None], pos[None, j:j2]
-                    least = needed(n1, n2)
-                    fits = (UNION_PARTS * n1 >= LINK_PARTS * n2) & (comp[i:i2, None] != comp[None, j:j2])
-                    fits &= (p1 <= n1 - least) & (p2 <= n2 - least)
-                    fits &= np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2) >= least
-                    if i == j:
-                        fits &= np.arange(i, i2)[:, None] < np.arange(j, j2)[None]
-                    x, y = np.nonzero(fits)
-                    x, y = x + i, y + j
-                    if large and len(x):
-                        close = (n[x] + n[y] - signatures.differ(x - lo, y - lo)) // 2 >= needed(n[x], n[y])
-                        x, y = x[close], y[close]
-                    if len(x):
-                        x, y = doc[x], doc[y]
-                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                        size += len(x)
-            if size > 500_000:
-                once = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
-                found, size = [], 0
+        for whole in runs_of(batches, ["shingle", "i", "j"], least=20_000):
+            t = {c: whole.column(c).to_numpy().astype(np.int64) for c in ("shingle", "i", "j", "side", "doc_id", "n", "pos", "component")}
+            bits = whole.column("bits").to_pylist() if whole.column("bits").null_count < whole.num_rows else None
+            new = np.zeros(whole.num_rows, bool)
+            new[0] = True
+            for k in ("shingle", "i", "j"):
+                new[1:] |= t[k][1:] != t[k][:-1]
+            starts = np.flatnonzero(new)
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), whole.num_rows], strict=True):
+                for some in within(t, bits, lo, lo + int(np.searchsorted(t["side"][lo:hi], 1)), hi):
+                    found.append(some)
+                    size += len(some)
+                    if size > 300_000:
+                        yield once(found)
+                        found, size = [], 0
         if found:
-            once = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+            yield once(found)
 
-    dealt = lists.select("shingle", "doc_id", "n", "pos", "component", "bits").repartition(parts(lists.sparkSession), "shingle")
+    key = ["shingle", "i", "j"]
+    dealt = tiles.repartition(parts(tiles.sparkSession, rows), *key).sortWithinPartitions(*key, "side", "n", "doc_id")
     return dealt.mapInArrow(pairs, "a long, b long").where("a != b").distinct()
 
 
+def folded_of(signatures: DataFrame) -> DataFrame:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([folded(b.as_py()) for b in batch.column("bits")], pa.binary())], ["doc_id", "folded"])
+
+    return signatures.select("doc_id", "bits").mapInArrow(fold, "doc_id long, folded binary")
+
+
 def label(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with column component: their doc_id's, or the doc_id itself."""
     named = found.select(F.col("node").alias("doc_id"), "component")
@@ -385,13 +491,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     classes = cut(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("m1").alias("m1"), F.first("m2").alias("m2")), "ngram-classes")
     equal = some.select("doc_id", *key).join(classes.select("rep", *key), key).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     signatures = some.select("doc_id", "n", "bits")
-    edges = equal.union(verify(docs, signatures, leader_pairs(classes)))
+    edges = equal.union(verify(docs, signatures, leader_pairs(classes, classes.count())))
     found = components(edges)
     lists = postings(docs, frequent, total)
+    short = folded_of(signatures)
     release(spark)
     for one_each in (True, False):
-        tiles = label(lists, found).join(signatures.select("doc_id", "bits"), "doc_id").withColumn("bits", F.when(F.col("m") >= LARGE, F.col("bits")))
-        more = verify(docs, signatures, tile_pairs(tiles, one_each))
+        tiles = cut(tiles_of(lists, label(some.select("doc_id").distinct(), found), short, one_each), "ngram-tiles")
+        more = verify(docs, signatures, tile_pairs(tiles, tiles.count()))
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(known.union(more))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
