@@ -185,12 +185,61 @@ def test_media_round_trip(odd, none):
     assert media.media_report(none).count() == 0
 
 
-@pytest.mark.parametrize("payload", [b"a" * 192, bytes(range(256)) * 3, b"ab" * 96, np.random.default_rng(0).bytes(3 * 64 * 500)])
-def test_encoder_and_both_decoders_agree(monkeypatch, payload):
-    data = media.store_payload(payload)
+def pictures():
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[:70, :90]
+    smooth = np.stack([x + 2 * y, x + 2 * y + rng.integers(0, 3, x.shape), 255 - x], 2).astype(np.uint8)
+    grey = rng.integers(0, 256, (40, 33, 1)) + rng.integers(0, 4, (40, 33, 3))
+    slope = rng.integers(0, 30, (50, 60, 1)) * np.array([3, 4, 1]) + rng.integers(0, 3, (50, 60, 3))
+    few = rng.integers(0, 2, (9, 31, 1)) * np.array([200, 10, 3])
+    return [smooth, grey.astype(np.uint8), slope.astype(np.uint8), few.astype(np.uint8), rng.integers(0, 256, (1, 1, 3)).astype(np.uint8), np.zeros((3, 1, 3), np.uint8), rng.integers(0, 256, (40, 64, 3)).astype(np.uint8), np.tile(rng.integers(0, 256, (1, 21, 3)), (30, 4, 1)).astype(np.uint8)]
+
+
+PAYLOADS = [b"a" * 192, b" " * 192, bytes(range(256)) * 3, b"ab" * 96, np.random.default_rng(0).bytes(3 * 64 * 500), media.payload_of(b"so it goes on and on, and so on; " * 600), media.payload_of(b"".join(b"%d: line %d\n" % (k, k % 7) for k in range(3000)))]
+
+
+@pytest.mark.parametrize("k", range(len(PAYLOADS) + len(pictures())))
+def test_encoder_and_both_decoders_agree(monkeypatch, k):
+    if k < len(PAYLOADS):
+        data, want = media.store_payload(PAYLOADS[k]), np.frombuffer(PAYLOADS[k], np.uint8)
+    else:
+        want = pictures()[k - len(PAYLOADS)]
+        data = webp.encode(want)
     fast = webp.decode(data)
-    monkeypatch.setattr(webp, "_uniform", lambda *_: None)
-    assert np.array_equal(fast, webp.decode(data)) and fast[:, :, 1:].tobytes() == payload
+    assert fast[:, :, 1:].tobytes() == want.tobytes() and (fast[:, :, 0] == 255).all()
+    monkeypatch.setattr(webp, "BLOCK_BITS", 400)
+    assert np.array_equal(fast, webp.decode(data))
+    monkeypatch.setattr(webp, "GROUPS_AT_ONCE", 0)
+    assert np.array_equal(fast, webp.decode(data))
+
+
+def used(monkeypatch, encode):
+    """What of the format the media that encode() gives use, by the decoder's own reading."""
+    found = Counter()
+
+    def spy(name, tell):
+        real = getattr(webp, name)
+
+        def told(*a):
+            tell(*a)
+            return real(*a)
+
+        monkeypatch.setattr(webp, name, told)
+
+    spy("_undo_predictor", lambda *a: found.update(predictor=1))
+    spy("_undo_cross", lambda *a: found.update(cross=1))
+    spy("_undo_palette", lambda *a: found.update(palette=1))
+    spy("_one_group", lambda b, codes, w, n, cache: found.update(cache=cache > 0, back_references=bool(((codes[0].used >= 256) & (codes[0].used < 280)).any())))
+    for data in encode():
+        webp.decode(data)
+    monkeypatch.undo()
+    return {k for k, v in found.items() if v}
+
+
+def test_stored_media_use_the_format(monkeypatch, docs):
+    texts = [r.text for r in docs.select("text").collect()]
+    assert used(monkeypatch, lambda: [media.store_payload(media.payload_of((t or "").encode())) for t in texts]) >= {"palette", "cache", "back_references"}
+    assert used(monkeypatch, lambda: map(webp.encode, pictures())) == {"predictor", "cross", "palette", "cache", "back_references"}
 
 
 class Stream(webp.Writer):
@@ -202,7 +251,7 @@ class Stream(webp.Writer):
             return
         lengths = np.zeros(alphabet, np.uint8)
         lengths[used] = int(np.log2(len(used)))
-        webp._put_code(self, lengths, alphabet)
+        self.put(*webp._code_bits(lengths, alphabet))
         self.codes = webp.canonical(lengths), lengths
 
     def flat(self, pixels):

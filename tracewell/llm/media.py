@@ -1,7 +1,8 @@
 """Texts as lossless WebP media: stored in a table, read back to pixels and described.
 
 A payload (the text's UTF-8 bytes, spaces up to a multiple of 192) becomes rows of 64 RGB
-pixels; payloads over 16,384 such rows become rows of 16,384 pixels, filled up with zeros.
+pixels; payloads over 16,384 such rows become rows of 16,384 pixels, filled up with zeros. The
+format ends at 16,384 rows: a text over 805 MB raises.
 """
 
 from __future__ import annotations
@@ -86,7 +87,11 @@ REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """Store every text and describe what the stored bytes decode to, a row per document."""
+    """Store every text and describe what the stored bytes decode to, a row per document.
+
+    Null and empty texts are one unit of spaces; equal texts get equal values, repeated rows a row
+    each; an empty table gives no rows; other columns are ignored.
+    """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
