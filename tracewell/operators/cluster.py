@@ -10,26 +10,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .regions import FRAME, PIXELS_PER_UM, _cube, by_frames, label_array
+from .frames import FRAME, by_frames, cube
+from .regions import PIXELS_PER_UM, label_array
 
 ROUNDS = 12
 
 
+def lloyd(v: np.ndarray, n: np.ndarray, k: int, rounds: int) -> list[float]:
+    """Centres of sorted values v with counts n. Prefix sums are made once; a round looks up the
+    borders in them."""
+    total, up = int(n.sum()), np.cumsum(n)
+    sums, counts = np.concatenate([[0.0], np.cumsum(v * n)]), np.concatenate([[0.0], np.cumsum(n.astype(float))])
+    centres = []
+    for j in range(k):  # exact quantiles, interpolated between neighbours
+        place = (2 * j + 1) / (2 * k) * (total - 1)
+        low, high = (v[np.searchsorted(up, q, "right")] for q in (int(np.floor(place)), min(total - 1, int(np.floor(place)) + 1)))
+        centres.append(low + (high - low) * (place - np.floor(place)))
+    for _ in range(rounds):
+        at = np.searchsorted(v, [(a + b) / 2 for a, b in zip(centres, centres[1:])], "right")
+        at = np.concatenate([[0], np.maximum.accumulate(at), [len(v)]]).astype(int)
+        mass, size = np.diff(sums[at]), np.diff(counts[at])
+        centres = [float(m / c) if c else old for m, c, old in zip(mass, size, centres)]
+    return centres
+
+
 def kmeans_centres(px: DataFrame, keys: tuple[str, ...], k: int = 3, value: str = "i", rounds: int = ROUNDS) -> DataFrame:
     """keys, centres: `rounds` rounds of Lloyd's steps on the value counts, from the middles of
     k equal quantile ranges, centres ascending. A value halfway belongs to the lower centre; an
-    empty cluster keeps its centre. One expression over the group's value counts."""
-    counts = px.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
-    start = px.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*(F.lit((2 * j + 1) / (2 * k)) for j in range(k)))).alias("c0"))
-    lists = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h")).join(start, list(keys))
+    empty cluster keeps its centre. Only the counts of a group's distinct values meet in a task."""
+    counts = px.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
-    def mean_of(c: Column, j: int) -> Column:
-        inside = lambda e: (F.lit(True) if j == 0 else e.v > (c[j - 1] + c[j]) / 2) & (F.lit(True) if j == k - 1 else e.v <= (c[j] + c[j + 1]) / 2)
-        total = F.aggregate("h", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda a, e: F.when(inside(e), F.struct((a.s + e.v * e.n).alias("s"), (a.n + e.n).alias("n"))).otherwise(a))
-        return F.when(total.n > 0, total.s / total.n).otherwise(c[j])
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        return pdf.iloc[:1][list(keys)].assign(centres=[lloyd(pdf["v"].to_numpy(), pdf["n"].to_numpy(), k, rounds)])
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("c0"), lambda c, _: F.array(*(mean_of(c, j) for j in range(k))))
-    return lists.select(*keys, found.alias("centres"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*keys).schema)
+    return counts.groupBy(*keys).applyInPandas(work, f"{schema}, centres array<double>")
 
 
 def kmeans_labels(px: DataFrame, keys: tuple[str, ...], k: int = 3, value: str = "i", rounds: int = ROUNDS) -> DataFrame:
@@ -189,9 +205,9 @@ def grow_frame(a: np.ndarray, seed: float, growth: float, max_diff: float) -> np
 def _framewise(px: DataFrame, value: str, kernel, name: str) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, one in pdf.groupby("frame"):
-            cube, (_, y, x) = _cube(one, value)
-            out.append(one[["stack_id", "frame", "y", "x"]].assign(**{name: kernel(cube[0], one)[y, x]}))
+        for _, one in pdf.groupby("_f"):
+            frame, (_, y, x) = cube(one.assign(_f=0), value)
+            out.append(one[["stack_id", "frame", "y", "x"]].assign(**{name: kernel(frame[0], one)[y, x]}))
         return pd.concat(out)
 
     return by_frames(px, work, f"stack_id int, frame int, y int, x int, {name} int")

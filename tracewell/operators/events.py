@@ -1,11 +1,13 @@
 """Events in traces: gate bounds, peaks, frames, gaps and isolation.
 
 Rows are (series_id, sample, t, vm). Everything runs on windows of a series or on the list of a
-series' peaks, which is short beside its samples.
+series' tops, which is short beside its samples.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,49 +30,108 @@ def within_gate(trace: DataFrame, bounds: DataFrame) -> DataFrame:
     return inside.withColumn("sample", F.col("sample") - F.col("start")).drop("start", "stop")
 
 
-def local_maxima(trace: DataFrame, least: float = 0.0) -> DataFrame:
-    """series_id, pos, h of samples above both sides; of a plateau its middle sample (rounded
-    down). Plateaus that touch an end don't count; h is `least` or more."""
+def tops(trace: DataFrame) -> DataFrame:
+    """series_id, seg, pos, h, peak, low: a series as its tops and the lowest value from each top
+    to the next. A top is a run of equal samples above its neighbours (its middle sample, rounded
+    down); those at an end of the trace are no peaks. seg 0, without a top, holds what rises to
+    the first. One shuffle by series serves all steps."""
     order = Window.partitionBy("series_id").orderBy("sample")
-    changed = trace.withColumn("_new", F.when(F.lag("vm").over(order).eqNullSafe(F.col("vm")), 0).otherwise(1))
-    runs = changed.withColumn("_run", F.sum("_new").over(order)).groupBy("series_id", "_run").agg(
+    near = trace.withColumn("_new", F.when(F.lag("vm").over(order).eqNullSafe(F.col("vm")), 0).otherwise(1))
+    runs = near.withColumn("_run", F.sum("_new").over(order)).groupBy("series_id", "_run").agg(
         F.min("sample").alias("_first"), F.max("sample").alias("_last"), F.first("vm").alias("h"))
     order = Window.partitionBy("series_id").orderBy("_run")
     near = runs.withColumns({"_l": F.lag("h").over(order), "_r": F.lead("h").over(order)})
-    top = near.where((F.col("h") > F.col("_l")) & (F.col("h") > F.col("_r")) & (F.col("h") >= least))
-    return top.select("series_id", F.floor((F.col("_first") + F.col("_last")) / 2).alias("pos"), "h")
+    top = (F.col("_l").isNull() | (F.col("h") > F.col("_l"))) & (F.col("_r").isNull() | (F.col("h") > F.col("_r")))
+    peak = top & F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    pos = F.floor((F.col("_first") + F.col("_last")) / 2)
+    marked = near.withColumns({"_top": top.cast("int"), "_peak": peak, "_pos": pos}).withColumn("seg", F.sum("_top").over(order))
+    first = lambda c: F.max(F.when(F.col("_top") == 1, c))
+    return marked.groupBy("series_id", "seg").agg(
+        first(F.col("_pos")).alias("pos"), first(F.col("h")).alias("h"), F.coalesce(first(F.col("_peak")), F.lit(False)).alias("peak"), F.min("h").alias("low"))
+
+
+def local_maxima(trace: DataFrame, least: float = 0.0) -> DataFrame:
+    """series_id, pos, h of samples above both sides; of a plateau its middle sample (rounded
+    down). Plateaus that touch an end don't count; h is `least` or more."""
+    return tops(trace).where(F.col("peak") & (F.col("h") >= least)).select("series_id", "pos", "h")
+
+
+def apart(pos: np.ndarray, h: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the peaks (by ascending pos) survive greedy suppression from the highest down; of
+    equal heights the later one goes first."""
+    kept, gone = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
+    for k in np.lexsort((-pos, -h)):
+        if not gone[k]:
+            kept[k] = True
+            lo, hi = np.searchsorted(pos, [pos[k] - distance + 1, pos[k] + distance])
+            gone[lo:hi] = True
+    return kept
+
+
+def prominences(h: np.ndarray, low: np.ndarray, first_low: float) -> np.ndarray:
+    """Of every top: its height over the higher of the lowest points on both sides, each side
+    ending at the nearest strictly higher top or the trace's end. low[k] lies between tops k and
+    k + 1; first_low before top 0. Every top is pushed and popped once."""
+
+    def lowest(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        out, stack = np.empty(len(h)), []  # (height, lowest since the entry below)
+        for k, (x, v) in enumerate(zip(h.tolist(), before.tolist())):
+            while stack and stack[-1][0] <= x:
+                v = min(v, stack.pop()[1])
+            out[k] = v
+            stack.append((x, v))
+        return out
+
+    left = lowest(h, np.concatenate([[first_low], low[:-1]]))
+    right = lowest(h[::-1], low[::-1])[::-1]
+    return h - np.maximum(np.minimum(left, h), np.minimum(right, h))
+
+
+def _per_series(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel on the tops of one series at a time: a recording's tops, not its samples."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        first = pdf["low"].iloc[0] if pdf["seg"].iloc[0] == 0 else np.inf
+        return kernel(pdf[pdf["seg"] > 0], first)
+
+    series = rows.schema["series_id"].dataType.simpleString()
+    return rows.groupBy("series_id").applyInPandas(work, f"series_id {series}, {schema}")
 
 
 def separate(peaks: DataFrame, distance: int) -> DataFrame:
     """Peaks that survive greedy suppression from the highest down: a peak falls to a kept one
     less than `distance` away; of equal heights the later one goes first."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("h")).alias("nh"), (-F.col("pos")).alias("npos"))))
-    none = F.array().cast("array<struct<nh:double,npos:bigint>>")
-    kept = F.aggregate(F.col("_p"), none, lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q.npos - p.npos) < distance), acc).otherwise(F.concat(acc, F.array(p))))
-    return peaks.groupBy("series_id").agg(ranked.alias("_p")).select("series_id", F.explode(kept).alias("_k")).select(
-        "series_id", (-F.col("_k.npos")).alias("pos"), (-F.col("_k.nh")).alias("h"))
+
+    def kernel(pdf: pd.DataFrame, _: float) -> pd.DataFrame:
+        return pdf[apart(pdf["pos"].to_numpy(), pdf["h"].to_numpy(), distance)][["series_id", "pos", "h"]]
+
+    return _per_series(peaks.select("*", (F.col("pos") + 1).alias("seg"), F.col("h").alias("low")), kernel, "pos long, h double")
 
 
 def with_prominence(peaks: DataFrame, trace: DataFrame) -> DataFrame:
     """Add `prominence`: height over the higher of the lowest points on both sides, each side
     ending at the nearest strictly higher sample or the trace's end."""
-    samples = trace.select(F.col("series_id").alias("_s"), "sample", "vm")
-    beside = peaks.join(samples, F.col("series_id") == F.col("_s")).groupBy("series_id", "pos", "h")
-    higher = F.col("vm") > F.col("h")
-    bounds = beside.agg(
-        F.max(F.when(higher & (F.col("sample") < F.col("pos")), F.col("sample"))).alias("_lb"),
-        F.min(F.when(higher & (F.col("sample") > F.col("pos")), F.col("sample"))).alias("_rb"))
-    inside = bounds.join(samples, F.col("series_id") == F.col("_s")).groupBy("series_id", "pos", "h")
-    left = (F.col("sample") <= F.col("pos")) & (F.col("_lb").isNull() | (F.col("sample") > F.col("_lb")))
-    right = (F.col("sample") >= F.col("pos")) & (F.col("_rb").isNull() | (F.col("sample") < F.col("_rb")))
-    lows = inside.agg(F.min(F.when(left, F.col("vm"))).alias("_ml"), F.min(F.when(right, F.col("vm"))).alias("_mr"))
-    return lows.select("series_id", "pos", "h", (F.col("h") - F.greatest("_ml", "_mr")).alias("prominence"))
+    rows = tops(trace).join(peaks.select("series_id", "pos", F.lit(True).alias("_kept")), ["series_id", "pos"], "left")
+
+    def kernel(pdf: pd.DataFrame, first: float) -> pd.DataFrame:
+        found = pdf.assign(prominence=prominences(pdf["h"].to_numpy(), pdf["low"].to_numpy(), first))
+        return found[found["_kept"].notna()][["series_id", "pos", "h", "prominence"]]
+
+    return _per_series(rows, kernel, "pos long, h double, prominence double")
 
 
 def find_peaks(trace: DataFrame, least: float, distance: int, prominence: float) -> DataFrame:
-    """series_id, pos, h, prominence: maxima, separated, then those prominent enough."""
-    found = with_prominence(separate(local_maxima(trace, least), distance), trace)
-    return found.where(F.round("prominence", 6) >= prominence)
+    """series_id, pos, h, prominence: maxima, separated, then those prominent enough. The trace is
+    read once; all steps run on its tops."""
+
+    def kernel(pdf: pd.DataFrame, first: float) -> pd.DataFrame:
+        found = pdf.assign(prominence=prominences(pdf["h"].to_numpy(), pdf["low"].to_numpy(), first))
+        found = found[found["peak"] & (found["h"] >= least)]
+        found = found[apart(found["pos"].to_numpy(), found["h"].to_numpy(), distance)]
+        return found[found["prominence"].round(6) >= prominence][["series_id", "pos", "h", "prominence"]]
+
+    return _per_series(tops(trace), kernel, "pos long, h double, prominence double")
 
 
 def spike_frames(peaks: DataFrame, samples_per_frame: int, first_dropped: Column | int = 0) -> DataFrame:

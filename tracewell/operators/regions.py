@@ -1,7 +1,7 @@
 """Connected regions and their measures.
 
 Labelling runs per block of frames in numpy; frames are independent, so blocks can be as small
-as one full-size frame. Everything after the labels is plain aggregation.
+as one frame. Everything after the labels is plain aggregation.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FRAME = ("stack_id", "frame")
-#: Pixels handed to one call: small frames travel together, a large frame alone.
-BLOCK_PIXELS = 1 << 18
+from .frames import FRAME, by_frames, cube, with_columns
+
 #: Pixels per micrometre by objective.
 PIXELS_PER_UM = {"10X": 0.75, "40X": 3.0, "60X": 4.5}
 
@@ -48,31 +47,31 @@ def label_array(mask: np.ndarray, connectivity: int) -> np.ndarray:
     return out
 
 
-def by_frames(px: DataFrame, work, schema: str, side: int = 8, keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """work(pdf of whole frames) for blocks of a stack's frames; side is a frame's usual width."""
-    each = max(1, BLOCK_PIXELS // (side * side))
-    block = [F.col(k) for k in keys[:-1]] + [F.floor(F.col(keys[-1]) / each).alias("_block")]
-    return px.groupBy(*block).applyInPandas(work, schema)
+def label_components(px: DataFrame, flag: Column, connectivity: int, name: str = "label") -> DataFrame:
+    """Add the pixel's region number within its frame, 0 outside the flagged pixels."""
+    rows = px.withColumn("_flag", F.coalesce(flag, F.lit(False)))
 
+    def kernel(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        mask, at = cube(pdf, "_flag", False)
+        return {name: label_array(mask, connectivity)[at]}
 
-def _cube(pdf: pd.DataFrame, value: str, fill=0) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    frames, f = np.unique(pdf["frame"], return_inverse=True)
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    cube = np.full((len(frames), y.max() + 1, x.max() + 1), fill, pdf[value].dtype)
-    cube[f, y, x] = pdf[value]
-    return cube, (f, y, x)
+    return with_columns(rows, kernel, f"`{name}` int", drop=("_flag",))
 
 
-def label_components(px: DataFrame, flag: Column, connectivity: int, name: str = "label", side: int = 8) -> DataFrame:
-    """Add the pixel's region number within its frame, 0 outside the flagged pixels."""
-    rows = px.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.schema) + f", `{name}` int"
+def label_categories(px: DataFrame, category: Column, connectivity: int = 8, n: int = 2) -> DataFrame:
+    """The pixels of categories 1 to n with their region number within frame and category; all
+    categories are labelled in one pass. Pixels of other categories are left out."""
+    rows = px.withColumn("category", category.cast("int"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        cube, at = _cube(pdf, "_flag", False)
-        return pdf.drop(columns="_flag").assign(**{name: label_array(cube, connectivity)[at]})
+        kinds, at = cube(pdf, "category")
+        label = np.zeros(len(pdf), np.int32)
+        for c in range(1, n + 1):
+            label += label_array(kinds == c, connectivity)[at]
+        return pdf.drop(columns="_f").assign(label=label)[label > 0]
 
-    return by_frames(rows, work, schema, side)
+    return by_frames(rows.where("category is not null"), work, f"{kept}, label int")
 
 
 def categorize_connected(px: DataFrame, dim: Column, bright: Column, min_size: int, value: str = "i") -> DataFrame:
@@ -165,10 +164,10 @@ def largest_contours(labelled: DataFrame, largest: DataFrame) -> DataFrame:
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for frame, one in pdf.groupby("frame"):
-            cube, _ = _cube(one, "_in", False)
-            for c, line in enumerate(trace_contours(cube[0])):
-                out += [(one["stack_id"].iloc[0], frame, c, k, y, x) for k, (y, x) in enumerate(line)]
+        for (stack, frame), one in pdf.groupby(["stack_id", "frame"]):
+            mask, _ = cube(one.assign(_f=0), "_in", False)
+            for c, line in enumerate(trace_contours(mask[0])):
+                out += [(stack, frame, c, k, y, x) for k, (y, x) in enumerate(line)]
         return pd.DataFrame(out, columns=["stack_id", "frame", "contour", "seq", "ey", "ex"])
 
     return by_frames(rows, work, "stack_id int, frame int, contour int, seq int, ey double, ex double")

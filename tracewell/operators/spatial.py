@@ -1,13 +1,15 @@
-"""Neighbourhood operators within frames, as two one-dimensional windows each."""
+"""Neighbourhood operators within frames: numpy kernels over whole frames, an axis at a time."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FRAME = ("stack_id", "frame")
+from .frames import FRAME, cube, with_columns
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -19,44 +21,61 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _blur_axis(px: DataFrame, value: str, kernel: list[float], along: str, across: str, border: str, keys: tuple[str, ...]) -> Column:
-    line = Window.partitionBy(*keys, across).orderBy(along)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    half, taps, weights = len(kernel) // 2, [], []
+def blur_array(a: np.ndarray, known: np.ndarray, kernel: list[float], border: str, axis: int) -> np.ndarray:
+    """One axis of a separable blur of (frames, height, width); absent pixels don't count."""
+    half, n = len(kernel) // 2, a.shape[axis]
+    total, weight = np.zeros(a.shape), np.zeros(a.shape)
+    here = [slice(None)] * 3
     for k, w in enumerate(kernel):
         d = k - half
-        near = F.col(value) if d == 0 else F.lag(value, -d).over(line) if d < 0 else F.lead(value, d).over(line)
         if border == "clamp":
-            edge = (F.first(value) if d < 0 else F.last(value)).over(whole)
-            taps.append(F.coalesce(near, edge) * w)
-        else:
-            taps.append(F.coalesce(near * w, F.lit(0.0)))
-            weights.append(F.when(near.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)))
-    total = sum(taps[1:], taps[0])
-    return total if border == "clamp" else total / sum(weights[1:], weights[0])
+            at = np.clip(np.arange(n) + d, 0, n - 1)
+            total += w * np.take(a, at, axis)
+            continue
+        if abs(d) >= n:
+            continue
+        to, of = list(here), list(here)
+        to[axis], of[axis] = slice(max(0, -d), n - max(0, d)), slice(max(0, d), n - max(0, -d))
+        total[tuple(to)] += w * np.where(known[tuple(of)], a[tuple(of)], 0.0)
+        weight[tuple(to)] += w * known[tuple(of)]
+    return total if border == "clamp" else total / np.where(weight > 0, weight, 1.0)
 
 
 def gaussian_blur(px: DataFrame, sigma: float, value: str = "i", border: str = "renorm", keys: tuple[str, ...] = FRAME) -> DataFrame:
     """Add `blurred`. border: "renorm" leaves taps outside the frame out and rescales; "clamp"
-    repeats the edge pixels."""
+    repeats the edge pixels. Both axes run in one kernel on whole frames, with one shuffle."""
     if border not in ("renorm", "clamp"):
         raise ValueError("border must be 'renorm' or 'clamp'")
-    kernel = gaussian_kernel(sigma)
-    rows = px.withColumn("_v", F.col(value).cast("double"))
-    rows = rows.withColumn("_h", _blur_axis(rows, "_v", kernel, "x", "y", border, keys))
-    return rows.withColumn("blurred", _blur_axis(rows, "_h", kernel, "y", "x", border, keys)).drop("_v", "_h")
+    taps = gaussian_kernel(sigma)
 
+    def kernel(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        a, at = cube(pdf.assign(_v=pdf[value].astype(float)), "_v", np.nan)
+        known = ~np.isnan(a)
+        for axis in (2, 1):
+            a = blur_array(a, known, taps, border, axis)
+        return {"blurred": a[at]}
 
-def _morph(px: DataFrame, flag: str, k: int, keys: tuple[str, ...], shrink: bool, name: str) -> DataFrame:
-    """0/1 minimum or maximum over the (2k+1)-square, x first; outside the frame is 0."""
+    return with_columns(px, kernel, "blurred double", keys)
+
+
+def morph_array(a: np.ndarray, k: int, shrink: bool) -> np.ndarray:
+    """Minimum or maximum over the (2k+1)-square of boolean (frames, height, width), x first;
+    outside the frame is 0."""
+    for axis in (2, 1):
+        pad = [(0, 0)] * 3
+        pad[axis] = (k, k)
+        wide = np.pad(a, pad)
+        parts = [np.take(wide, np.arange(d, d + a.shape[axis]), axis) for d in range(2 * k + 1)]
+        a = (np.logical_and if shrink else np.logical_or).reduce(parts)
+    return a
 
-    def axis(column: str, across: str, along: str) -> Column:
-        near = Window.partitionBy(*keys, across).orderBy(along).rowsBetween(-k, k)
-        if shrink:
-            return F.when(F.count(F.lit(1)).over(near) < 2 * k + 1, F.lit(0)).otherwise(F.min(column).over(near))
-        return F.max(column).over(near)
 
-    return px.withColumn("_a", axis(flag, "y", "x")).withColumn(name, axis("_a", "x", "y")).drop("_a")
+def _morph(px: DataFrame, flag: str, k: int, keys: tuple[str, ...], shrink: bool, name: str) -> DataFrame:
+    def kernel(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        a, at = cube(pdf.assign(_v=pdf[flag].fillna(0).astype(bool)), "_v", False)
+        return {name: morph_array(a, k, shrink)[at].astype(np.int32)}
+
+    return with_columns(px, kernel, f"`{name}` int", keys)
 
 
 def erode(px: DataFrame, flag: str, k: int, name: str = "eroded", keys: tuple[str, ...] = FRAME) -> DataFrame:
@@ -79,9 +98,18 @@ def roi_binning(px: DataFrame, roi: int, value: str = "i", keys: tuple[str, ...]
 
 
 def categorize_morphological(px: DataFrame, dim: Column, bright: Column, k: int, value: str = "i", keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """Add `category` 0, 1 or 2: each class is eroded, dilated, dilated and eroded; bright wins."""
-    rows = px.withColumns({"_d": ((F.col(value) > dim) & (F.col(value) <= bright)).cast("int"), "_b": (F.col(value) > bright).cast("int")})
-    for flag in ("_d", "_b"):
-        for grow in (False, True, True, False):
-            rows = _morph(rows, flag, k, keys, not grow, "_n").drop(flag).withColumnRenamed("_n", flag)
-    return rows.withColumn("category", F.when(F.col("_b") == 1, 2).when(F.col("_d") == 1, 1).otherwise(0)).drop("_d", "_b")
+    """Add `category` 0, 1 or 2: each class is eroded, dilated, dilated and eroded; bright wins.
+    All eight passes run in one kernel on whole frames, with one shuffle."""
+    kind = F.when(F.col(value) > bright, 2).when(F.col(value) > dim, 1).otherwise(0)
+
+    def kernel(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        kinds, at = cube(pdf, "_kind")
+        out = np.zeros(kinds.shape, np.int32)
+        for c in (1, 2):
+            a = kinds == c
+            for shrink in (True, False, False, True):
+                a = morph_array(a, k, shrink)
+            out[a] = c
+        return {"category": out[at]}
+
+    return with_columns(px.withColumn("_kind", kind), kernel, "category int", keys, drop=("_kind",))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def otsu_double(px: DataFrame, value: str, key: str = "stack_id") -> DataFrame:
     return first.join(otsu(above, value, "bright", key=key), key, "left").withColumn("bright", F.coalesce("bright", "dim"))
 
 
-def multi_otsu(px: DataFrame, value: str, bins: int = 32, key: str = "stack_id") -> DataFrame:
+def multi_otsu(px: DataFrame, value: str, bins: int = BINS, key: str = "stack_id") -> DataFrame:
     """key, dim, bright: the two thresholds that together separate three classes best."""
     up = Window.partitionBy(key).orderBy("bin")
     all_ = Window.partitionBy(key)
@@ -58,34 +60,33 @@ def multi_otsu(px: DataFrame, value: str, bins: int = 32, key: str = "stack_id")
     return best.select(key, centre(F.col("bin"), bins).alias("dim"), centre(F.col("bin2"), bins).alias("bright"))
 
 
-def li(px: DataFrame, value: str, name: str = "threshold", rounds: int = 30, key: str = "stack_id") -> DataFrame:
-    """key, name: minimum cross-entropy, iterated `rounds` times from the mean over the distinct
-    values' counts. The iteration runs inside one expression over the stack's value counts."""
-    counts = px.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
-    lists = counts.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.min("v").alias("lo"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
-
-    names = ("s0", "n0", "s1", "n1")  # sums and counts up to the threshold and above it
-    zero = F.struct(*(F.lit(0.0).alias(k) for k in names))
+def li_value(v: np.ndarray, n: np.ndarray, rounds: int = 30) -> float:
+    """The threshold of sorted values v with counts n. Prefix sums are made once; a round is a
+    lookup. Sides without a mean, or with a mean of the smallest value, leave it as it is."""
+    low = v - v[0]
+    mass, count = np.cumsum(low * n), np.cumsum(n)
+    t = float((v * n).sum() / count[-1])
+    for _ in range(rounds):
+        k = int(np.searchsorted(v, t, "right"))
+        if k == 0 or k == len(v):
+            break
+        below, above = mass[k - 1] / count[k - 1], (mass[-1] - mass[k - 1]) / (count[-1] - count[k - 1])
+        if below <= 0 or above <= 0 or below == above:
+            break
+        t = float(v[0] + (below - above) / (np.log(below) - np.log(above)))
+    return t
 
-    def add_up(t: Column):
-        def one(acc: Column, e: Column) -> Column:
-            mass = e.n * (e.v - F.col("lo"))
-            low = (acc.s0 + mass, acc.n0 + e.n, acc.s1, acc.n1)
-            high = (acc.s0, acc.n0, acc.s1 + mass, acc.n1 + e.n)
-            return F.when(e.v <= t, F.struct(*(v.alias(k) for k, v in zip(names, low, strict=True)))).otherwise(F.struct(*(v.alias(k) for k, v in zip(names, high, strict=True))))
 
-        return F.aggregate("h", zero, one)
-
-    def step(t: Column, _: Column) -> Column:
-        def moved(q: Column) -> Column:
-            low, high = F.try_divide(q.s0, q.n0), F.try_divide(q.s1, q.n1)
-            return F.coalesce(F.col("lo") + F.try_divide(low - high, F.log(low) - F.log(high)), t)
+def li(px: DataFrame, value: str, name: str = "threshold", rounds: int = 30, key: str = "stack_id") -> DataFrame:
+    """key, name: minimum cross-entropy, iterated `rounds` times from the mean over the distinct
+    values' counts; only these counts meet in a task (at most 65,536 for stored images)."""
+    counts = px.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
 
-        return F.element_at(F.transform(F.array(add_up(t)), moved), 1)  # the sums are made once a round
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        return pdf.iloc[:1][[key]].assign(**{name: li_value(pdf["v"].to_numpy(), pdf["n"].to_numpy(), rounds)})
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("mean"), step)
-    return lists.select(key, found.alias(name))
+    return counts.groupBy(key).applyInPandas(work, f"`{key}` {px.schema[key].dataType.simpleString()}, `{name}` double")
 
 
 def li_double(px: DataFrame, value: str, key: str = "stack_id") -> DataFrame:
@@ -119,10 +120,16 @@ def sweep(values: DataFrame, criterion: str, value: str = "v", low: int = 1, hig
 
 
 METHODS = {"otsu_double": otsu_double, "li_double": li_double, "multi_otsu": multi_otsu}
+SINGLE = {"otsu": otsu, "li": li}
 
 
-def thresholds(px: DataFrame, method: str, value: str = "i", key: str = "stack_id") -> DataFrame:
-    """key, dim, bright by the method's name."""
+def thresholds(px: DataFrame, method: str, value: str = "i", key: str = "stack_id", dim: float | None = None, bright: float | None = None) -> DataFrame:
+    """key, dim, bright by the method's name. "manual" takes dim and bright as given; a single
+    threshold ("otsu", "li") stands for both, so no value lies between."""
+    if method == "manual":
+        return manual(px, dim, bright, key)
+    if method in SINGLE:
+        return SINGLE[method](px, value, "dim", key=key).withColumn("bright", F.col("dim"))
     if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
+        raise ValueError(f"unknown method {method!r}; known: {', '.join([*METHODS, *SINGLE, 'manual'])}")
     return METHODS[method](px, value, key=key)

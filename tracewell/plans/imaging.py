@@ -14,6 +14,12 @@ from tracewell.sources import standins as S
 from .parts import PX, blur, labels, morph, otsu, otsu_double
 from .registry import add
 
+
+
+def preprocessed(spark, sf_dir):
+    return T.preprocess(S.pixels(spark, sf_dir), 10, 1.0)
+
+
 XY = "stack_id:l frame:l y:l x:l"
 MASK = "i > 32767"
 
@@ -40,22 +46,26 @@ add("gauss_blur_renorm", f"{XY} blurred:6", lambda s, d: P.gaussian_blur(S.pixel
 add("gauss_blur_clamp", f"{XY} blurred:6", lambda s, d: P.gaussian_blur(S.pixels(s, d), 1.0, border="clamp"), "SELECT *, bv_v AS blurred FROM bv", blur("clamp"))
 add("roi_binning", f"{XY} binned:6", lambda s, d: P.roi_binning(S.pixels(s, d), 3),
     "SELECT *, CASE WHEN y < 6 AND x < 6 THEN avg(i) OVER (PARTITION BY stack_id, frame, y // 3, x // 3) ELSE 0 END AS binned FROM px", PX)
-add("preprocess_stack", f"{XY} stored:l",
-    lambda s, d: P.gaussian_blur(T.detrend(S.pixels(s, d), 10).withColumn("r", F.round("detrended", 6)), 1.0, "r").withColumn("stored", T.clip_uint16(F.round("blurred", 3))),
-    "SELECT *, trunc(least(greatest(round(bv_v, 3), 0), 65535)) AS stored FROM bv",
-    blur("renorm").replace("b0 AS (SELECT *, i::DOUBLE AS v FROM px)", f"b0 AS (SELECT * EXCLUDE (m), round(detrended, 6) AS v FROM ({DETREND}))"))
+ALIGNED = PX + f""", dt AS (SELECT * EXCLUDE (m) FROM ({DETREND})),
+al AS (SELECT stack_id, frame, y, x, round(detrended - (m - min(m) OVER (PARTITION BY stack_id)), 6) AS v
+       FROM (SELECT *, avg(detrended) OVER (PARTITION BY stack_id, y, x) AS m FROM dt))"""
+STORED = "trunc(least(greatest(round({}, 3), 0), 65535))"
+add("preprocess_calibrated", f"{XY} stored:l", lambda s, d: preprocessed(s, d).select("stack_id", "frame", "y", "x", F.col("calibrated").alias("stored")),
+    f"SELECT *, {STORED.format('v')} AS stored FROM al", ALIGNED)
+add("preprocess_stack", f"{XY} stored:l", lambda s, d: preprocessed(s, d).select("stack_id", "frame", "y", "x", F.col("smoothed").alias("stored")),
+    f"SELECT *, {STORED.format('bv_v')} AS stored FROM bv", blur("renorm").replace(PX, ALIGNED).replace("b0 AS (SELECT *, i::DOUBLE AS v FROM px)", "b0 AS (SELECT * FROM al)"))
 
 # -- thresholds
 
 add("otsu", "stack_id:l threshold:6", lambda s, d: H.otsu(S.pixels(s, d), "i"), "SELECT stack_id, t AS threshold FROM t", PX + ", " + otsu("px", "i", "t"))
 add("otsu_double", "stack_id:l dim:6 bright:6", lambda s, d: H.otsu_double(S.pixels(s, d), "i"), "SELECT * FROM th", PX + ", " + otsu_double("px", "i"))
-M = otsu("px", "i", "t", 32)
+M = otsu("px", "i", "t", 256)
 MULTI = M[: M.index("t AS (\n")] + """best AS (
   SELECT a.stack_id, a.lo, a.hi, a.bin AS b1, b.bin AS b2, row_number() OVER (PARTITION BY a.stack_id ORDER BY round(
       a.s0 * a.s0 / a.n0 + (b.s0 - a.s0) * (b.s0 - a.s0) / (b.n0 - a.n0) + (a.st - b.s0) * (a.st - b.s0) / (a.nt - b.n0), 3) DESC, a.bin, b.bin) AS k
   FROM t_c a JOIN t_c b ON a.stack_id = b.stack_id AND a.bin < b.bin AND b.n0 < b.nt)"""
 add("multiotsu", "stack_id:l dim:6 bright:6", lambda s, d: H.multi_otsu(S.pixels(s, d), "i"),
-    "SELECT stack_id, lo + (b1 + 0.5) * (hi - lo) / 32 AS dim, lo + (b2 + 0.5) * (hi - lo) / 32 AS bright FROM best WHERE k = 1", PX + ", " + MULTI)
+    "SELECT stack_id, lo + (b1 + 0.5) * (hi - lo) / 256 AS dim, lo + (b2 + 0.5) * (hi - lo) / 256 AS bright FROM best WHERE k = 1", PX + ", " + MULTI)
 
 
 def li_sql(source: str, name: str) -> str:
@@ -141,8 +151,7 @@ add("categorize_connected", f"{XY} category:l", connected, "SELECT * FROM cc", C
 def regions(spark, sf_dir, min_area=0):
     """Dim and bright regions of plainly thresholded pixels, labelled 8-connected."""
     px = with_thresholds(spark, sf_dir)
-    kinds = [R.label_components(px, flag, 8).withColumn("category", F.lit(c)) for c, flag in ((1, F.expr("i > dim and i <= bright")), (2, F.expr("i > bright")))]
-    return R.region_props(kinds[0].unionByName(kinds[1]), min_area)
+    return R.region_props(R.label_categories(px, F.expr("case when i > bright then 2 when i > dim then 1 else 0 end")), min_area)
 
 
 PROPS = TH + ", " + labels("pt", "i > dim AND i <= bright", 8, "ld") + ", " + labels("pt", "i > bright", 8, "lq") + """, props AS (
@@ -208,4 +217,12 @@ add("categorize_growing", f"{XY} category:l", lambda s, d: K.categorize_growing(
 
 # -- a larger raster, for throughput
 
-add("raster_blur", "frame:l y:l x:l blurred:4", lambda s, d: P.gaussian_blur(S.raster(s, d), 1.0, keys=("frame",)))
+RASTER = """ra AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) - 1 - 1995 * 12 AS frame, l_suppkey % 32 AS y, l_partkey % 32 AS x, sum(l_quantity)::BIGINT AS i FROM lineitem GROUP BY ALL),
+px AS (SELECT f.frame, a.y, b.x, coalesce(ra.i, 0) AS i FROM (SELECT DISTINCT frame FROM ra) f CROSS JOIN (SELECT range AS y FROM range(32)) a CROSS JOIN (SELECT range AS x FROM range(32)) b
+       LEFT JOIN ra ON ra.frame = f.frame AND ra.y = a.y AND ra.x = b.x)"""
+TAPS = P.gaussian_kernel(1.0)
+WEIGHTS = ", ".join(f"({k - len(TAPS) // 2}, {w!r}::DOUBLE)" for k, w in enumerate(TAPS))
+add("raster_blur", "frame:l y:l x:l blurred:4", lambda s, d: P.gaussian_blur(S.raster(s, d), 1.0, keys=("frame",)), "SELECT * FROM rv",
+    RASTER + f""", wt(d, w) AS (VALUES {WEIGHTS}),
+rh AS (SELECT a.frame, a.y, a.x, sum(b.i * w) / sum(w) AS i FROM px a JOIN wt ON a.x + d BETWEEN 0 AND 31 JOIN px b ON b.frame = a.frame AND b.y = a.y AND b.x = a.x + d GROUP BY ALL),
+rv AS (SELECT a.frame, a.y, a.x, sum(b.i * w) / sum(w) AS blurred FROM px a JOIN wt ON a.y + d BETWEEN 0 AND 31 JOIN rh b ON b.frame = a.frame AND b.x = a.x AND b.y = a.y + d GROUP BY ALL)""")
