@@ -21,12 +21,24 @@ FALLBACK_DIR = "file:///tmp/checkpoints/tracewell"
 TASK_BYTES = 128 << 20
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 #: The bytes that separate words, and the upper-case letters that are folded.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def _give_memory_back() -> None:
+    """Buffers from 4 MB up get pages of their own, which go back when they are freed, and Arrow
+    takes its memory from the same place. Otherwise what one task needed stays with the reused
+    worker, and the workers of an executor add up."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+
+
+_give_memory_back()
 _caches: dict[str, dict] = {}
 
 
@@ -73,12 +85,23 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps survive lost executors."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let rows go to Python BATCH_BYTES at a time, unless the session asks for less: executors
+    hold several such batches off the heap, and their size does not make tasks faster."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = str(spark.conf.get(key)).rstrip("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
