@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 KEY = ("exp_date", "abf_serial", "img_serial")
 #: Names that a sheet's trace column may have, first match wins for the sheet.
 TRACE_COLUMNS = ("ABF_NUMBER", "ABF_SERIAL_NUMBER", "ABF_SERIAL", "ABF", "STIM_PROTOCOL_NUMBER")
+#: The catalogue's columns. `error` says why a pair gave no result.
+SCHEMA = (
+    "exp_date string, abf_serial string, img_serial string, timestamp timestamp, objective string, um_per_pixel double, threshold_method string, "
+    "n_spikes_detected bigint, n_spikes_analyzed bigint, n_frames bigint, total_dim_regions bigint, total_bright_regions bigint, region_analysis string, "
+    "data_dir string, slice int, at string, centroid_y double, centroid_x double, x_span_pixels double, y_span_pixels double, x_span_um double, y_span_um double"
+)
 REGION = "struct<centroid:array<double>,bbox:array<bigint>,label:bigint,x_span_pixels:double,y_span_pixels:double,x_span_um:double,y_span_um:double>"
 ANALYSIS = f"struct<bright_largest:array<{REGION}>,obj:string,um_per_pixel:double>"
 
@@ -42,16 +48,30 @@ def pending(pairs: DataFrame, done: DataFrame, key: tuple[str, ...] = KEY) -> Da
     return pairs.join(done.select(*key), list(key), "left_anti")
 
 
-def read_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The stored catalogue, or an empty one where nothing is stored yet."""
-    from pyspark.errors import AnalysisException
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Whole versions of the catalogue under path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for s in fs.listStatus(root) if fs.exists(root) else []:
+        name = s.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+            found.append(int(name[1:]))
+    return sorted(found)
 
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+
+def read_catalogue(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
+    """The newest version of the stored catalogue, or an empty one where nothing is stored yet."""
+    held = _versions(spark, path)
+    if not held:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/v{held[-1]:06d}")
+
+
+def create_catalogue(spark: SparkSession, path: str, schema: str = SCHEMA) -> None:
+    """An empty catalogue, where there is none."""
+    if not _versions(spark, path):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/v{1:06d}")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -87,7 +107,23 @@ def spike_frame_region(regions: Column) -> Column:
 
 
 def write_catalogue(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
+    """Store rows as the next version; readers see it once it is whole, and older ones stay."""
+    held = _versions(rows.sparkSession, path)
+    rows.write.mode("overwrite").parquet(f"{path}/v{(held[-1] if held else 0) + 1:06d}")
+
+
+def store_results(results: DataFrame, path: str, key: tuple[str, ...] = KEY) -> None:
+    """Put results into the stored catalogue: rows of the same key are replaced, others stay."""
+    create_catalogue(results.sparkSession, path)
+    write_catalogue(upsert(read_catalogue(results.sparkSession, path), results, key), path)
+
+
+def not_stored(keys: DataFrame, *stored: DataFrame) -> DataFrame:
+    """The keys that are absent from at least one of the stored outputs (those in all are done)."""
+    names, done = keys.columns, keys
+    for rows in stored:
+        done = done.join(rows.select(*names).distinct(), names, "left_semi")
+    return keys.join(done.distinct(), names, "left_anti")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -210,7 +210,20 @@ def _framewise(px: DataFrame, value: str, kernel, name: str) -> DataFrame:
             out.append(one[["stack_id", "frame", "y", "x"]].assign(**{name: kernel(frame[0], one)[y, x]}))
         return pd.concat(out)
 
-    return by_frames(px, work, f"stack_id int, frame int, y int, x int, {name} int")
+    kept = ", ".join(f"{c} {px.schema[c].dataType.simpleString()}" for c in ("stack_id", "frame", "y", "x"))
+    return by_frames(px, work, f"{kept}, {name} int")
+
+
+def dbscan_labels(px: DataFrame, eps: float = 3.0, least: int = 10, scale: float = 10.0, value: str = "i") -> DataFrame:
+    """Density clusters of the pixels above dim: stack_id, frame, y, x, cluster (0: none)."""
+    return _framewise(px, value, lambda a, one: dbscan_frame(a, one["dim"].iloc[0], eps, least, scale), "cluster")
+
+
+def dbscan_noise(px: DataFrame, labels: DataFrame, value: str = "i") -> DataFrame:
+    """Per frame the clusters, and the pixels above dim that belong to none."""
+    both = px.select("stack_id", "frame", "y", "x", (F.col(value) > F.col("dim")).alias("above")).join(labels, ["stack_id", "frame", "y", "x"])
+    noise = F.count_if(F.col("above") & (F.col("cluster") <= 0))
+    return both.groupBy("stack_id", "frame").agg(F.count_distinct(F.when(F.col("cluster") > 0, F.col("cluster"))).alias("n_clusters"), noise.alias("n_noise"))
 
 
 def categorize_watershed(px: DataFrame, apart: int = 5, min_size: int = 20, value: str = "i") -> DataFrame:

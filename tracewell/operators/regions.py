@@ -170,7 +170,8 @@ def largest_contours(labelled: DataFrame, largest: DataFrame) -> DataFrame:
                 out += [(stack, frame, c, k, y, x) for k, (y, x) in enumerate(line)]
         return pd.DataFrame(out, columns=["stack_id", "frame", "contour", "seq", "ey", "ex"])
 
-    return by_frames(rows, work, "stack_id int, frame int, contour int, seq int, ey double, ex double")
+    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in FRAME)
+    return by_frames(rows, work, f"{kept}, contour int, seq int, ey double, ex double")
 
 
 def with_scale(rows: DataFrame, objective: str = "objective") -> DataFrame:

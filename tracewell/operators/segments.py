@@ -35,8 +35,10 @@ def segment_pixels(spikes: DataFrame, recordings: DataFrame, px: DataFrame) -> D
 
 def zscore(segments: DataFrame, value: str = "i") -> DataFrame:
     """Add z: value against the mean and population deviation of its pixel before the spike; a
-    deviation of 0 counts as 1."""
-    pixel = Window.partitionBy("series_id", "spike_id", "y", "x")
+    deviation of 0 counts as 1. Rows are dealt out by stack and pixel, which serves the statistics
+    over spikes at a pixel too: they need no shuffle of their own."""
+    segments = segments.repartition("stack_id", "y", "x")
+    pixel = Window.partitionBy("stack_id", "series_id", "spike_id", "y", "x")
     before = F.when(F.col("rel") < 0, F.col(value))
     mean, spread = F.avg(before).over(pixel), F.stddev_pop(before).over(pixel)
     return segments.withColumns({"_m": mean, "_s": spread}).withColumn("z", (F.col(value) - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
@@ -55,3 +57,25 @@ def aligned_mean(scored: DataFrame, value: str = "z") -> DataFrame:
 def display_range(scored: DataFrame, value: str, *keys: str) -> DataFrame:
     """1st and 99th percentiles, with linear interpolation."""
     return scored.groupBy(*keys).agg(F.percentile(value, 0.01).alias("p01"), F.percentile(value, 0.99).alias("p99"))
+
+
+def zip_strict(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("series_id", "spike_id")) -> DataFrame:
+    """left and right side by side by keys; a row without a partner on either side is an error, as
+    lists of unequal length are."""
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), list(keys), "full")
+    named = F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))
+    checked = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.concat(F.lit("no partner for "), named))).otherwise(True)
+    return both.withColumn("_ok", checked).where("_ok").drop("_l", "_r", "_ok")
+
+
+def paired(pairs: DataFrame, traces: DataFrame, stacks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(recordings, trace, pixels) of pairs by their keys: traces carry (exp_date, abf_serial),
+    stacks (exp_date, img_serial). series_id and stack_id number pairs and images, by a 64-bit
+    hash of the keys; a pair without a trace or a stack has n_samples or n_frames null."""
+    numbered = pairs.withColumns({"series_id": F.xxhash64("exp_date", "abf_serial", "img_serial"), "stack_id": F.xxhash64("exp_date", "img_serial")})
+    images = stacks.withColumn("stack_id", F.xxhash64("exp_date", "img_serial"))
+    px = images.join(numbered.select("stack_id").distinct(), "stack_id", "left_semi").select("stack_id", "frame", "y", "x", "i")
+    trace = traces.join(numbered.select("exp_date", "abf_serial", "series_id"), ["exp_date", "abf_serial"]).select("series_id", "sample", "t", "vm")
+    frames = px.groupBy("stack_id").agg((F.max("frame") + 1).cast("long").alias("n_frames"))
+    samples = trace.groupBy("series_id").agg(F.count("*").alias("n_samples"))
+    return numbered.join(frames, "stack_id", "left").join(samples, "series_id", "left"), trace, px
