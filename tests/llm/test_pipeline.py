@@ -26,8 +26,16 @@ def test_stages_apply_in_order(spark):
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd, none):
+    counts = []
     for table in (odd, none):
-        docs = table
-        for _, stage in corpus_pipeline.STAGES:
+        docs, n = table, []
+        for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, DATA)
-        assert docs.count() >= 0
+            n.append(docs.count())
+            assert name == "pack" or docs.columns == table.columns
+        counts.append(n)
+    assert counts[1] == [0] * 5
+    first, exact, near, mixed, packed = counts[0]
+    assert odd.count() >= first >= exact >= near > 0 and mixed > 0 and packed >= mixed
+    texts = [(r.text or "").lower() for r in corpus_pipeline.STAGES[1][1](spark, odd, DATA).collect()]
+    assert len(texts) == len(set(texts)) == len({(r.text or "").lower() for r in odd.collect()})

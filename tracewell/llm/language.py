@@ -27,6 +27,8 @@ TRAIN_DOCUMENTS = 1500
 N, GRAMS, POSITIONS, HASHES = 4, 12_000, 1 << 18, 2
 #: An n-gram joins a language where its rate is at least this share of its highest rate.
 RATE_SHARE = 0.25
+#: Languages up to which their shares are broadcast (some 50 bytes each).
+BROADCAST_LANGUAGES = 10_000
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77)  # fixed values: odd hash multipliers
 UNKNOWN = "und"
 #: Bytes that part words: everything ASCII that is not a letter becomes a space.
@@ -96,7 +98,9 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> Languages:
     shares = [(r.lang, min(1.0, per_language / r.n)) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not shares:
         return build({})
+    # The shares go to the rows: a language may hold a third of them, and texts need not move.
     listed = spark.createDataFrame(shares, "lang string, share double")
+    listed = F.broadcast(listed) if len(shares) <= BROADCAST_LANGUAGES else listed
     sample = known.select("doc_id", "lang", text_of().alias("text")).join(listed, "lang").where(F.xxhash64("doc_id", F.lit(9)) / F.lit(2.0**64) + 0.5 < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,11 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> Languages:
 
 
 def identify(docs: DataFrame, model: Languages) -> DataFrame:
-    """docs' ids with lang_pred and score; null texts and texts without a letter are `und`, 0."""
+    """docs' ids with lang_pred and score; null texts and texts without a letter are `und`, 0.
+
+    Of languages with equal hits the first in code-point order wins. Repeated rows get a row each
+    and equal answers, null ids stay null, an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

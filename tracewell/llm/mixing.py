@@ -23,6 +23,8 @@ from .common import BROADCAST_IDS, WORD_PATTERN, boxed, cut, text_of, unboxed
 LAST_DOCUMENTS = 500
 #: Patterns up to which the plan's rows are broadcast (some hundred bytes each).
 BROADCAST_PATTERNS = 50_000
+#: Cells of a pattern that are summed up first, so that no task orders all cells of a hot one.
+CELLS_TOGETHER = 1000
 #: Source weights in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -125,7 +127,8 @@ def annotate(docs: DataFrame, sources: Column, seed: int) -> DataFrame:
     none = F.array(F.lit(None).cast("string"))
     named = F.array_sort(F.array_distinct(F.coalesce(sources, none)))
     size = word_count(text_of())
-    order = F.xxhash64(F.col("doc_id").cast("long"), size, F.lit(seed)) / F.lit(2.0**64) + 0.5
+    # The text takes part, so rows without an id, or with one id, fall in different cells.
+    order = F.xxhash64(F.col("doc_id").cast("long"), text_of(), F.lit(seed)) / F.lit(2.0**64) + 0.5
     return docs.withColumns({"_pattern": F.when(F.size(named) > 0, named).otherwise(none), "_size": size, "_u": order})
 
 
@@ -153,13 +156,19 @@ class Mix:
         self.to_rows = F.broadcast if len(held) <= BROADCAST_PATTERNS else lambda df: df
         self.plan = self.to_rows(spark.createDataFrame(plan, "_p array<string>, _whole long, _part long, _cells long"))
         cells = self._with_cells(self.rows).where("_part > 0").groupBy("_pattern", "_part", "_cell").agg(F.sum("_size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("_pattern").orderBy("_cell"))
-        # The cell of its seeded order in which a pattern's partial pass ends.
-        self.ends = cut(
-            cells.withColumn("upto", upto).where((F.col("upto") >= F.col("_part")) & (F.col("upto") - F.col("words") < F.col("_part")))
-            .select(F.col("_pattern").alias("_q"), F.col("_cell").alias("_end"), (F.col("_part") - F.col("upto") + F.col("words")).alias("_left")),
-            "mix-ends",
-        )
+        cells = cut(cells.withColumn("_super", F.floor(F.col("_cell") / CELLS_TOGETHER)), "mix-cells")
+
+        def where_reached(rows: DataFrame, order: str) -> DataFrame:
+            """Of each pattern, the row in whose order its partial pass ends, and the words before."""
+            upto = F.sum("words").over(Window.partitionBy("_pattern").orderBy(order)) + F.col("_before")
+            return rows.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_part")) & (F.col("_upto") - F.col("words") < F.col("_part")))
+
+        # Two levels: first the group of cells, then the cell of its seeded order.
+        groups = cells.groupBy("_pattern", "_part", "_super").agg(F.sum("words").alias("words")).withColumn("_before", F.lit(0).cast("long"))
+        group = where_reached(groups, "_super").select(F.col("_pattern").alias("_q"), F.col("_super").alias("_s"), (F.col("_upto") - F.col("words")).alias("_before"))
+        inner = cells.join(self.to_rows(group), F.col("_pattern").eqNullSafe(F.col("_q")) & (F.col("_super") == F.col("_s")))
+        ends = where_reached(inner, "_cell")
+        self.ends = cut(ends.select(F.col("_pattern").alias("_q"), F.col("_cell").alias("_end"), (F.col("_part") - F.col("_upto") + F.col("words")).alias("_left")), "mix-ends")
         self.ends = self.to_rows(self.ends)
 
         def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,4 +224,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
+    """docs, each row as often as the mix to its sources' targets takes it.
+
+    Null and empty texts have no words and stay once at least; a null source is one of its own;
+    repeated rows count apart; an empty table gives an empty one; columns stay as they are.
+    """
     return Mix(docs, one_source(), single_source).apply(docs)

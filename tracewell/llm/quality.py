@@ -161,7 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCUMENTS) ->
 
 
 def with_score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
-    """docs with a double column `name`: the chance that a text is good (null counts as empty)."""
+    """docs with a double column `name`: the chance that a text is good.
+
+    Null counts as empty; equal texts score alike; repeated rows stay; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

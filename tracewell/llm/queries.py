@@ -10,6 +10,7 @@ from .common import table
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty, equal to each other; of equal texts the largest id stays; a row per document."""
     from .exact_dedup import dedup_report
 
     return dedup_report(table(spark, sf_dir, "documents"))
@@ -24,6 +25,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty; null ids come first, repeated ones follow each other; empty table, no rows."""
     from .common import shared_dir
     from .records import read_records, write_records
     from .tokens import file_path
@@ -34,6 +36,7 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are one piece, the end id; repeated rows are packed apart; empty table, no rows."""
     from .packing import pack
     from .tokens import file_path
 
@@ -41,24 +44,28 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have size 0; a null source is one of its own; empty table, no rows."""
     from .mixing import mix_report
 
     return mix_report(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts link with nothing; equal ids are one node; empty table, no rows."""
     from .ngram_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts score as empty ones; equal texts score alike; empty table, no rows."""
     from .quality import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts count 0; repeated rows count alike; empty table, no rows."""
     from .piece_counts import piece_counts
     from .tokens import file_path
 
@@ -66,12 +73,14 @@ def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty: one unit of spaces; equal texts give equal media; empty table, no rows."""
     from .media import media_report
 
     return media_report(table(spark, sf_dir, "documents"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and texts without a letter are `und`; ties go to the first language; empty table, no rows."""
     from .language import language_report
 
     return language_report(table(spark, sf_dir, "documents"))

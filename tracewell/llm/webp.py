@@ -381,7 +381,7 @@ def _undo_predictor(pixels: np.ndarray, modes: np.ndarray, block: int) -> np.nda
     used = np.unique(modes[:, :, 2] & 15).tolist()
     if used in ([1], [2]):  # every pixel adds to its left or upper neighbour
         out = pixels.copy()
-        out[0, 0, 0] += 255
+        out[0, 0, 0] = (int(out[0, 0, 0]) + 255) & 255
         if used == [1]:
             out[:, 0] = out[:, 0].cumsum(0, dtype=np.uint8)
             return out.cumsum(1, dtype=np.uint8)
@@ -746,7 +746,7 @@ def _residual(pixels: np.ndarray, mode: int) -> np.ndarray:
     else:
         out[1:] -= pixels[:-1]
         out[0, 1:] -= pixels[0, :-1]
-    out[0, 0, 0] -= 255
+    out[0, 0, 0] = (int(out[0, 0, 0]) - 255) & 255
     return out
 
 
