@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import catalog as C
 from tracewell.operators import categorize as K
-from tracewell.operators import cluster, events, frames, regions, segments, spatial, temporal, threshold
+from tracewell.operators import cluster, events, frames, regions, segments, spatial, stored, temporal, threshold
 from tracewell.plans import batch
 from tracewell.sources import files
 from tracewell.sources import standins as S
@@ -196,3 +196,21 @@ def test_labels_of_all_categories_in_one_pass(spark):
     for c in (1, 2):
         one = regions.label_components(px.withColumn("c", F.col("i") % 3), F.col("c") == c, 8).where("label > 0").select("frame", "y", "x", F.lit(c).alias("category"), "label")
         assert sorted(map(tuple, both.where(f"category = {c}").collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_stored_frames_give_what_pixel_rows_give(spark, monkeypatch):
+    px, _ = stack(spark, 7, 10)
+    monkeypatch.setattr(stored, "BAND_VALUES", 7 * 10 * 3)  # bands of three rows, the last of one
+    whole = files.pixels_to_frames(px)
+    got = stored.preprocess(whole, 4, 1.0)
+    want = temporal.preprocess(px, 4, 1.0)
+    for name in ("calibrated", "smoothed"):
+        flat = files.frames_to_pixels(got.select("stack_id", "frame", "w", F.col(name).alias("pixels")))
+        assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, want.select("stack_id", "frame", "y", "x", name).collect()))
+    kinds = stored.categorize(whole.withColumns({"dim": F.lit(20_000.0), "bright": F.lit(45_000.0)}), 1)
+    flat = files.frames_to_pixels(kinds.select("stack_id", "frame", "w", "pixels"))
+    plain = spatial.categorize_morphological(px, F.lit(20_000.0), F.lit(45_000.0), 1).select("stack_id", "frame", "y", "x", "category")
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, plain.collect()))
+    labels = files.frames_to_pixels(stored.label(kinds, 2).select("stack_id", "frame", "w", "pixels"))
+    one = regions.label_components(plain, F.col("category") == 2, 8).select("stack_id", "frame", "y", "x", "label")
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, one.collect()))

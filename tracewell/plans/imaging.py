@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tracewell.operators import cluster as K
 from tracewell.operators import regions as R
 from tracewell.operators import spatial as P
+from tracewell.operators import stored as D
 from tracewell.operators import temporal as T
 from tracewell.operators import threshold as H
 from tracewell.sources import standins as S
+from tracewell.sources.files import frames_to_pixels, pixels_to_frames
 
 from .parts import PX, blur, labels, morph, otsu, otsu_double
 from .registry import add
@@ -52,8 +54,18 @@ al AS (SELECT stack_id, frame, y, x, round(detrended - (m - min(m) OVER (PARTITI
 STORED = "trunc(least(greatest(round({}, 3), 0), 65535))"
 add("preprocess_calibrated", f"{XY} stored:l", lambda s, d: preprocessed(s, d).select("stack_id", "frame", "y", "x", F.col("calibrated").alias("stored")),
     f"SELECT *, {STORED.format('v')} AS stored FROM al", ALIGNED)
-add("preprocess_stack", f"{XY} stored:l", lambda s, d: preprocessed(s, d).select("stack_id", "frame", "y", "x", F.col("smoothed").alias("stored")),
-    f"SELECT *, {STORED.format('bv_v')} AS stored FROM bv", blur("renorm").replace(PX, ALIGNED).replace("b0 AS (SELECT *, i::DOUBLE AS v FROM px)", "b0 AS (SELECT * FROM al)"))
+SMOOTHED = f"SELECT *, {STORED.format('bv_v')} AS stored FROM bv", blur("renorm").replace(PX, ALIGNED).replace("b0 AS (SELECT *, i::DOUBLE AS v FROM px)", "b0 AS (SELECT * FROM al)")
+add("preprocess_stack", f"{XY} stored:l", lambda s, d: preprocessed(s, d).select("stack_id", "frame", "y", "x", F.col("smoothed").alias("stored")), *SMOOTHED)
+
+
+
+def stored_pixels(spark, sf_dir):
+    """The smoothed stacks by the kernels on stored frames, as pixel rows again."""
+    frames = D.preprocess(pixels_to_frames(S.pixels(spark, sf_dir)), 10, 1.0)
+    return frames_to_pixels(frames.select("stack_id", "frame", "w", F.col("smoothed").alias("pixels"))).withColumnRenamed("i", "stored")
+
+
+add("preprocess_stored", f"{XY} stored:l", stored_pixels, *SMOOTHED)
 
 # -- thresholds
 
