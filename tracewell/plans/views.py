@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell import functions as O
 from tracewell.operators import cluster as K
+from tracewell.operators import events as E
 from tracewell.operators import regions as R
 from tracewell.operators import segments as G
 from tracewell.sources import standins as S
 
 from .imaging import BEST, PER_FRAME, PROPS, regions
-from .parts import PEAKS, SCORED
+from .parts import PEAKS, REC, SCORED, TR
 from .registry import add
 from .spikes import SAMPLES, peaks, samples, scored
 
@@ -75,3 +77,25 @@ def area_table(spark, sf_dir):
 
 add("view_cluster_table", "stack_id:l frame:l cluster:l area:s side:s", area_table,
     "SELECT *, printf('%.2f', n / 20.25::DOUBLE) AS area, printf('%.2f', sqrt(n / 20.25::DOUBLE)) AS side FROM (SELECT stack_id, frame, j AS cluster, count(*) FILTER (cluster = j) AS n FROM kl, range(3) r(j) GROUP BY stack_id, frame, j)", PER_FRAME)
+
+
+def optics(spark, sf_dir):
+    """Resolution limits of made-up objectives: wavelengths in nanometres, apertures from 0.3 to 1.2."""
+    given = S.read(spark, sf_dir, "part").select("p_partkey", (F.lit(400.0) + F.col("p_size") * 5).alias("nm"), (F.lit(0.3) + F.col("p_partkey") % 10 / 10).alias("na"))
+    sigma = O.psf_sigma(F.col("nm"), F.col("na"))
+    return given.withColumns({"sigma": sigma, "width": O.fwhm(sigma), "cutoff": O.cutoff_frequency(F.col("nm"), F.col("na"))})
+
+
+add("optics_limits", "p_partkey:l sigma:6 width:6 cutoff:9", optics,
+    "SELECT *, 0.21 * nm / na AS sigma, 2 * sqrt(2 * ln(2::DOUBLE)) * 0.21 * nm / na AS width, 2 * na / nm AS cutoff FROM (SELECT p_partkey, 400.0::DOUBLE + p_size * 5 AS nm, 0.3::DOUBLE + (p_partkey % 10) / 10.0::DOUBLE AS na FROM part)")
+
+
+def frame_times(spark, sf_dir):
+    """Frames lost at the start, where the trigger counted others than were stored, and the first frame's time."""
+    rec = S.recordings(spark, sf_dir)
+    lost = E.dropped_frames(F.col("n_frames"), F.col("n_frames") + F.col("series_id") % 3 - 1)
+    return rec.withColumn("dropped", lost).withColumn("first_ms", O.frame_to_ms(F.col("dropped")))
+
+
+add("frame_times", "series_id:l dropped:l first_ms:3", frame_times,
+    "SELECT *, dropped * 50.0::DOUBLE AS first_ms FROM (SELECT series_id, CASE WHEN series_id % 3 = 1 THEN 0 ELSE 1 END AS dropped FROM rec)", TR + ", " + REC)
