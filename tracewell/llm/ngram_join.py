@@ -48,9 +48,10 @@ COUNTED, RECURS = 2_000_000, 3
 FREQUENT_FROM, FREQUENT = 256, 1 << 20
 #: Rows compared with rows at a time, rows of a tile that one task takes.
 TILE, BLOCK = 512, 8192
-#: Documents of a tile from which its rows carry signatures, folded to FOLDED bytes at most (so
-#: that they grow with a text's length, not its square); words of them compared at a time.
-LARGE, FOLDED, WORDS_AT_ONCE = 16, 256, 1 << 21
+#: Rows of a tile from which they carry signatures (a smaller one has one pair), folded to FOLDED
+#: bytes at most (so that they grow with a text's length, not its square); words of them compared
+#: at a time.
+LARGE, FOLDED, WORDS_AT_ONCE = 3, 256, 1 << 21
 #: Sets that a task remembers so as to emit equal ones once.
 REMEMBERED = 1 << 17
 #: A leader of this many sets, and of more than a HOT_SHARE-th of all, is broadcast.
