@@ -6,13 +6,20 @@ series' tops, which is short beside its samples.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import whole_runs
+
 GATE_HIGH, GATE_LOW = 2.0, 0.8
 LEAST_GAP, MOST_GAP = 3, 4
+#: Tops handed to one call: series travel together up to it, a longer one alone.
+BLOCK_TOPS = 1 << 16
 
 
 def gate_bounds(trace: DataFrame, gate: str = "gate") -> DataFrame:
@@ -59,12 +66,12 @@ def local_maxima(trace: DataFrame, least: float = 0.0) -> DataFrame:
 def apart(pos: np.ndarray, h: np.ndarray, distance: int) -> np.ndarray:
     """Which of the peaks (by ascending pos) survive greedy suppression from the highest down; of
     equal heights the later one goes first."""
-    kept, gone = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
-    for k in np.lexsort((-pos, -h)):
+    kept, gone = np.zeros(len(pos), bool), bytearray(len(pos))
+    lo, hi = (np.searchsorted(pos, pos + d).tolist() for d in (1 - distance, distance))
+    for k in np.lexsort((-pos, -h)).tolist():
         if not gone[k]:
             kept[k] = True
-            lo, hi = np.searchsorted(pos, [pos[k] - distance + 1, pos[k] + distance])
-            gone[lo:hi] = True
+            gone[lo[k] : hi[k]] = b"\1" * (hi[k] - lo[k])
     return kept
 
 
@@ -87,26 +94,59 @@ def prominences(h: np.ndarray, low: np.ndarray, first_low: float) -> np.ndarray:
     return h - np.maximum(np.minimum(left, h), np.minimum(right, h))
 
 
-def _per_series(rows: DataFrame, kernel, schema: str) -> DataFrame:
-    """kernel on the tops of one series at a time: a recording's tops, not its samples."""
+def _by_series(rows: DataFrame, kernel: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """kernel(tops, first) on blocks of many whole series: their rows with seg > 0 by series and
+    seg, `_s` numbering the series of the block, and the lowest value before each series' first
+    top. A call costs more than most series' tops do, so series travel together."""
+    series = rows.schema["series_id"].dataType.simpleString()
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        first = pdf["low"].iloc[0] if pdf["seg"].iloc[0] == 0 else np.inf
-        return kernel(pdf[pdf["seg"] > 0], first)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, new in whole_runs(batches, ["series_id"], BLOCK_TOPS):
+            # ids stay in Arrow: among nulls, pandas would make floats of them
+            pdf = block.drop_columns("series_id").to_pandas().assign(_s=new.cumsum() - 1, _at=np.arange(len(new)))
+            first = np.full(int(new.sum()), np.inf)
+            start = pdf[new & (pdf["seg"] == 0)]
+            first[start["_s"]] = start["low"]
+            found = kernel(pdf[pdf["seg"] > 0], first)
+            ids = block.column("series_id").take(pa.array(found["_at"].to_numpy())).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[n].to_numpy()) for n in names)], ["series_id", *names])
 
-    series = rows.schema["series_id"].dataType.simpleString()
-    return rows.groupBy("series_id").applyInPandas(work, f"series_id {series}, {schema}")
+    dealt = rows.where("seg is not null").repartition("series_id").sortWithinPartitions("series_id", "seg")
+    return dealt.mapInArrow(stream, f"series_id {series}, {schema}")
+
+
+def _prominence(tops: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+    """prominences of many series at once: an endless top before each keeps them apart."""
+    at = np.arange(len(tops)) + tops["_s"].to_numpy() + 1
+    before = np.ones(len(tops) + len(first), bool)
+    before[at] = False
+    h, low = np.full(len(before), np.inf), np.empty(len(before))
+    h[at], low[at], low[before] = tops["h"], tops["low"], first
+    return prominences(h[1:], low[1:], first[0])[at - 1] if len(tops) else np.empty(0)
+
+
+def _apart(tops: pd.DataFrame, distance: int) -> pd.DataFrame:
+    """The tops that `apart` keeps, of many series at once: each on its own stretch of positions."""
+    if not len(tops):
+        return tops
+    pos = tops["pos"].to_numpy().astype(np.int64)
+    pos -= pos.min()
+    return tops[apart(pos + tops["_s"].to_numpy() * (pos.max() + 1 + max(0, distance)), tops["h"].to_numpy(), distance)]
+
+
+def _longs(tops: pd.DataFrame) -> pd.DataFrame:
+    return tops.assign(pos=tops["pos"].astype(np.int64))
 
 
 def separate(peaks: DataFrame, distance: int) -> DataFrame:
     """Peaks that survive greedy suppression from the highest down: a peak falls to a kept one
     less than `distance` away; of equal heights the later one goes first."""
 
-    def kernel(pdf: pd.DataFrame, _: float) -> pd.DataFrame:
-        return pdf[apart(pdf["pos"].to_numpy(), pdf["h"].to_numpy(), distance)][["series_id", "pos", "h"]]
+    def kernel(tops: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
+        return _longs(_apart(tops, distance))
 
-    return _per_series(peaks.select("*", (F.col("pos") + 1).alias("seg"), F.col("h").alias("low")), kernel, "pos long, h double")
+    return _by_series(peaks.select("*", (F.col("pos") + 1).alias("seg"), F.col("h").alias("low")), kernel, "pos long, h double")
 
 
 def with_prominence(peaks: DataFrame, trace: DataFrame) -> DataFrame:
@@ -114,24 +154,23 @@ def with_prominence(peaks: DataFrame, trace: DataFrame) -> DataFrame:
     ending at the nearest strictly higher sample or the trace's end."""
     rows = tops(trace).join(peaks.select("series_id", "pos", F.lit(True).alias("_kept")), ["series_id", "pos"], "left")
 
-    def kernel(pdf: pd.DataFrame, first: float) -> pd.DataFrame:
-        found = pdf.assign(prominence=prominences(pdf["h"].to_numpy(), pdf["low"].to_numpy(), first))
-        return found[found["_kept"].notna()][["series_id", "pos", "h", "prominence"]]
+    def kernel(tops: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        found = tops.assign(prominence=_prominence(tops, first))
+        return _longs(found[found["_kept"].notna()])
 
-    return _per_series(rows, kernel, "pos long, h double, prominence double")
+    return _by_series(rows, kernel, "pos long, h double, prominence double")
 
 
 def find_peaks(trace: DataFrame, least: float, distance: int, prominence: float) -> DataFrame:
     """series_id, pos, h, prominence: maxima, separated, then those prominent enough. The trace is
     read once; all steps run on its tops."""
 
-    def kernel(pdf: pd.DataFrame, first: float) -> pd.DataFrame:
-        found = pdf.assign(prominence=prominences(pdf["h"].to_numpy(), pdf["low"].to_numpy(), first))
-        found = found[found["peak"] & (found["h"] >= least)]
-        found = found[apart(found["pos"].to_numpy(), found["h"].to_numpy(), distance)]
-        return found[found["prominence"].round(6) >= prominence][["series_id", "pos", "h", "prominence"]]
+    def kernel(tops: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        found = tops.assign(prominence=_prominence(tops, first))
+        found = _apart(found[found["peak"] & (found["h"] >= least)], distance)
+        return _longs(found[found["prominence"].round(6) >= prominence])
 
-    return _per_series(tops(trace), kernel, "pos long, h double, prominence double")
+    return _by_series(tops(trace), kernel, "pos long, h double, prominence double")
 
 
 def spike_frames(peaks: DataFrame, samples_per_frame: int, first_dropped: Column | int = 0) -> DataFrame:

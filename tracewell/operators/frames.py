@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 FRAME = ("stack_id", "frame")
@@ -40,6 +42,39 @@ def whole_frames(batches: Iterator[pd.DataFrame], keys: tuple[str, ...], limit:
         yield numbered(pd.concat(held, ignore_index=True))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Arrow rows sorted by keys as blocks of whole runs of equal keys, with marks where a run
+    begins. A block is handed on as soon as it holds `limit` rows. Null keys are equal."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def marked() -> tuple[pa.Table, np.ndarray]:
+        block = pa.Table.from_batches(held).combine_chunks()
+        new = np.ones(block.num_rows, bool)
+        new[1:] = False
+        for k in keys:
+            a, b = block.column(k).slice(1), block.column(k).slice(0, block.num_rows - 1)
+            differ = pc.if_else(pc.or_(pc.is_null(a), pc.is_null(b)), pc.xor(pc.is_null(a), pc.is_null(b)), pc.not_equal(a, b))
+            new[1:] |= differ.to_numpy().astype(bool)
+        return block, new
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < limit:
+            continue
+        block, new = marked()
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield block.slice(0, last).combine_chunks(), new[:last]
+        held = block.slice(last).to_batches()
+        rows = block.num_rows - last
+    if rows:
+        yield marked()
+
+
 def by_frames(px: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """work(pdf of whole frames, with their number in the block as `_f`) for all frames of px.
 

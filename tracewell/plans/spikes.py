@@ -59,23 +59,33 @@ add("nearest_spike", "series_id:l frame:l", lambda s, d: spikes(s, d).groupBy("s
     "SELECT series_id, arg_min(frame, abs(frame - 15) * 100000 + frame) AS frame FROM sp GROUP BY series_id", SPIKES)
 
 
+def windows(spark, sf_dir):
+    """(windows of the picked spikes, scores of the distinct ones)."""
+    taken = cut(G.windows_of(spikes(spark, sf_dir), S.recordings(spark, sf_dir)))
+    return taken, G.window_scores(taken, S.pixels(spark, sf_dir))
+
+
 def scored(spark, sf_dir):
-    return G.zscore(G.segment_pixels(spikes(spark, sf_dir), S.recordings(spark, sf_dir), S.pixels(spark, sf_dir)))
+    return G.spike_scores(*windows(spark, sf_dir))
+
+
+def weighted(spark, sf_dir):
+    return G.weighted_scores(*windows(spark, sf_dir))
 
 
 CELL = "stack_id:l rel:l y:l x:l"
 MEDIAN = "SELECT stack_id, rel, y, x, quantile_cont(z, 0.5) AS median_z, count(*) AS n FROM zz GROUP BY stack_id, rel, y, x"
 add("zscore_segments", f"series_id:l spike_id:l {CELL} z:5", scored, "SELECT * FROM zz", SCORED)
-add("spike_median", f"{CELL} median_z:5 n:l", lambda s, d: G.aligned_median(scored(s, d)), MEDIAN, SCORED)
-add("spike_mean", f"{CELL} mean_z:5 n:l", lambda s, d: G.aligned_mean(scored(s, d)), "SELECT stack_id, rel, y, x, avg(z) AS mean_z, count(*) AS n FROM zz GROUP BY stack_id, rel, y, x", SCORED)
-add("zscore_range", "stack_id:l p01:5 p99:5", lambda s, d: G.display_range(G.aligned_median(scored(s, d)), "median_z", "stack_id"),
+add("spike_median", f"{CELL} median_z:5 n:l", lambda s, d: G.aligned_median(weighted(s, d), weight="spikes"), MEDIAN, SCORED)
+add("spike_mean", f"{CELL} mean_z:5 n:l", lambda s, d: G.aligned_mean(weighted(s, d), weight="spikes"), "SELECT stack_id, rel, y, x, avg(z) AS mean_z, count(*) AS n FROM zz GROUP BY stack_id, rel, y, x", SCORED)
+add("zscore_range", "stack_id:l p01:5 p99:5", lambda s, d: G.display_range(G.aligned_median(weighted(s, d), weight="spikes"), "median_z", "stack_id"),
     f"SELECT stack_id, quantile_cont(median_z, 0.01) AS p01, quantile_cont(median_z, 0.99) AS p99 FROM ({MEDIAN}) GROUP BY stack_id", SCORED)
 
 
 def pipeline(spark, sf_dir):
     """Peaks to categories: the aligned median z-score of every stack, offset and pixel, and its
     category by two thresholds of the stack."""
-    median = cut(G.aligned_median(scored(spark, sf_dir)).select("stack_id", "rel", "y", "x", "n", F.round("median_z", 5).alias("median_z")))
+    median = cut(G.aligned_median(weighted(spark, sf_dir), weight="spikes").select("stack_id", "rel", "y", "x", "n", F.round("median_z", 5).alias("median_z")))
     both = median.join(H.otsu_double(median, "median_z"), "stack_id")
     return both.withColumn("category", F.when(F.col("median_z") > F.col("bright"), 2).when(F.col("median_z") > F.col("dim"), 1).otherwise(0))
 
