@@ -10,11 +10,12 @@ from tracewell.operators import events as E
 from tracewell.operators import regions as R
 from tracewell.operators import segments as G
 from tracewell.sources import standins as S
+from tracewell.sources.lineage import cut
 
 from .imaging import BEST, PER_FRAME, PROPS, regions
 from .parts import PEAKS, REC, SCORED, TR
 from .registry import add
-from .spikes import SAMPLES, peaks, samples, scored
+from .spikes import SAMPLES, peaks, spikes, windows
 
 #: Milliseconds of a frame, as the figures' axes have it.
 FRAME_MS = 50
@@ -32,10 +33,13 @@ add("view_trace_peaks", "series_id:l sample:l vm:4 is_peak:b", trace_with_peaks,
 def segment_pages(spark, sf_dir):
     """A row for each frame of each segment: its number, its first time, and the segment's range
     for display; image frames and trace frames of a segment must match."""
-    limits = G.display_range(scored(spark, sf_dir), "z", "series_id", "spike_id")
-    shown = samples(spark, sf_dir).groupBy("series_id", "spike_id", "rel").agg(F.min("t").alias("t_start"), F.count("*").alias("n_samples"))
-    imaged = scored(spark, sf_dir).select("series_id", "spike_id", "rel").distinct()
-    return shown.join(imaged, ["series_id", "spike_id", "rel"]).join(limits, ["series_id", "spike_id"])
+    found = cut(spikes(spark, sf_dir))
+    taken = G.windows_of(found, S.recordings(spark, sf_dir))
+    scores = cut(G.window_scores(taken, S.pixels(spark, sf_dir)))
+    imaged = scores.select(*G.WINDOW, "rel").distinct().join(G.display_range(scores, "z", *G.WINDOW), list(G.WINDOW))
+    samples = G.segment_samples(found, S.trace(spark, sf_dir), S.SAMPLES_PER_FRAME)
+    shown = samples.groupBy("series_id", "spike_id", "rel").agg(F.min("t").alias("t_start"), F.count("*").alias("n_samples"))
+    return shown.join(taken, ["series_id", "spike_id"]).join(imaged, [*G.WINDOW, "rel"])
 
 
 add("view_segment_pages", "series_id:l spike_id:l rel:l t_start:3 n_samples:l p01:4 p99:4", segment_pages,
@@ -46,7 +50,7 @@ add("view_segment_pages", "series_id:l spike_id:l rel:l t_start:3 n_samples:l p0
 
 def overview(spark, sf_dir):
     """The frames around a spike with their place and limits in milliseconds, 0 at the spike's."""
-    frames = scored(spark, sf_dir).select("stack_id", "rel").distinct()
+    frames = windows(spark, sf_dir)[1].select("stack_id", "rel").distinct()
     half = F.max(F.abs(F.col("rel"))).over(R.Window.partitionBy("stack_id"))
     return frames.withColumns({"position": F.col("rel") + half, "start_ms": F.col("rel") * FRAME_MS, "end_ms": (F.col("rel") + 1) * FRAME_MS, "limit_ms": half * FRAME_MS})
 
