@@ -33,10 +33,10 @@ def spikes_of(trace: DataFrame, recordings: DataFrame, samples_per_frame: int, d
 
 def median_stacks(spikes: DataFrame, recordings: DataFrame, px: DataFrame) -> DataFrame:
     """A stack of 2 * HALF + 1 aligned median frames per series, as pixel rows with value i and
-    the series as stack_id. Scores and medians share one partitioning."""
-    scored = G.zscore(G.segment_pixels(spikes, recordings, px))
-    frames = scored.groupBy("stack_id", "series_id", "rel", "y", "x").agg(F.round(F.percentile("z", 0.5), 6).alias("i"))
-    return frames.select(F.col("series_id").alias("stack_id"), (F.col("rel") + HALF).cast("int").alias("frame"), "y", "x", "i")
+    the series as stack_id."""
+    windows = cut(G.windows_of(spikes, recordings))
+    frames = G.series_medians(windows, G.window_scores(windows, px))
+    return frames.select(F.col("series_id").alias("stack_id"), (F.col("rel") + HALF).cast("int").alias("frame"), "y", "x", F.round("median_z", 6).alias("i"))
 
 
 def outcomes(recordings: DataFrame, spikes: DataFrame) -> DataFrame:
