@@ -4,7 +4,7 @@ A document is the set of its distinct 5-word shingles, as sorted 64-bit hashes.
 link when 100 * |intersection| >= 75 * |union|. The join finds every link's component:
 
 1. One scan gives each document its set's size, fingerprint, two minima and bitmap signature
-   (bit k is the parity of the shingles hashed to k; as many bits as 2n rounded up). Equal sets
+   (bit k is the parity of the shingles hashed to k; as many bits as 8n rounded up). Equal sets
    fall together by fingerprint, with map-side aggregation. The scan also counts shingles that
    recur within a task; the most frequent go last in the order of shingles.
 2. Documents of a size band that share a minimum are compared with one leader of their group,
@@ -12,7 +12,7 @@ link when 100 * |intersection| >= 75 * |union|. The join finds every link's comp
 3. A second scan emits each set's prefix: the first n - ceil(3n/4) + 1 shingles in the order.
    Two linked sets share one. Documents that share a prefix shingle form a tile, sorted by size.
    Tiles of one component are dropped first; then one document stands for each component of a
-   tile, and last all do. Only pairs of compatible sizes and positions, in different components,
+   tile, where of many candidates a forest of the likeliest is verified; and last all do. Only pairs of compatible sizes and positions, in different components,
    are candidates; in larger tiles the folded signatures must leave room for a link too. Rows come
    to Python sorted, tile by tile; a tile over BLOCK rows is split into pairs of blocks, each a
    tile of its own, so no task holds or compares more than two blocks.
@@ -52,6 +52,11 @@ TILE, BLOCK = 512, 8192
 #: bytes at most (so that they grow with a text's length, not its square); words of them compared
 #: at a time.
 LARGE, FOLDED, WORDS_AT_ONCE = 3, 256, 1 << 21
+#: Bits of a signature for each shingle. With few, shingles that differ cancel out, and sets a
+#: little too different to link pass as candidates: for each group of near copies, its square.
+BITS_A_SHINGLE = 8
+#: Candidates for each row of a tile from which a forest of them is verified first.
+PAIRS_A_ROW = 2
 #: Sets that a task remembers so as to emit equal ones once.
 REMEMBERED = 1 << 17
 #: A leader of this many sets, and of more than a HOT_SHARE-th of all, is broadcast.
@@ -94,8 +99,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity bitmap of a power of two of bits, 2n or more."""
-    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """Parity bitmap of a power of two of bits, BITS_A_SHINGLE * n or more."""
+    size = max(64, 1 << (BITS_A_SHINGLE * len(s) - 1).bit_length())
     return np.packbits((np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
@@ -393,16 +398,49 @@ def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame,
     return plain.unionByName(blocked).drop("m")
 
 
-def tile_pairs(tiles: DataFrame, rows: int) -> DataFrame:
+def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Which edges (x, y) make a forest of greatest weight over n nodes: each round, every tree
+    takes the heaviest edge that leaves it."""
+    order = np.argsort(weight, kind="stable")
+    left, kept, tree = order, np.zeros(len(x), bool), np.arange(n)
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x))
+    while True:
+        left = left[tree[x[left]] != tree[y[left]]]
+        if not len(left):
+            return np.flatnonzero(kept)
+        best = np.full((2, n), -1)
+        best[0, tree[x[left]]] = rank[left]  # ascending: the last, heaviest one stays
+        best[1, tree[y[left]]] = rank[left]
+        best = best.max(0)
+        trees = np.flatnonzero(best >= 0)
+        edge = order[best[trees]]
+        kept[edge] = True
+        ends = np.stack([tree[x[edge]], tree[y[edge]]])
+        to = np.where(ends[0] == trees, ends[1], ends[0])
+        parent = np.arange(n)
+        parent[trees] = to
+        both = trees[(parent[to] == trees) & (trees < to)]
+        parent[both] = both  # two trees that chose each other: the smaller is the root
+        while not np.array_equal(parent, hop := parent[parent]):
+            parent = hop
+        tree = parent[tree]
+
+
+def tile_pairs(tiles: DataFrame, rows: int, forests: bool = False) -> DataFrame:
     """Candidates (a, b) of the tiles. A pair is a candidate if the components differ, sizes and
     the shingle's positions allow a link (it lies in the prefixes that two sets of these sizes
     need, and leaves room for enough more) and, where rows carry them, the signatures do.
+
+    forests: of a tile with more candidates than PAIRS_A_ROW for each row, only a forest of the
+    likeliest that connects all others do: as many as rows. It merges components; what it leaves
+    apart is for a later call without it.
     """
 
-    def within(t: dict[str, np.ndarray], bits: list | None, lo: int, mid: int, hi: int) -> Iterator[np.ndarray]:
-        """Candidates between rows lo to mid and mid to hi, or, without a second block (mid = hi),
-        among rows lo to hi; both sorted by size."""
-        n, pos, comp, doc = t["n"], t["pos"], t["component"], t["doc_id"]
+    def within(t: dict[str, np.ndarray], bits: list | None, lo: int, mid: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates (rows x, rows y, likeness) between rows lo to mid and mid to hi, or, without a
+        second block (mid = hi), among rows lo to hi; both sorted by size."""
+        n, pos, comp = t["n"], t["pos"], t["component"]
         signatures = Signatures(bits[lo:hi]) if bits is not None and bits[lo] is not None else None
         alone = mid == hi
         for i in range(lo, mid, TILE):
@@ -422,11 +460,31 @@ def tile_pairs(tiles: DataFrame, rows: int) -> DataFrame:
                     fits &= np.arange(i, i2)[:, None] < np.arange(j, j2)[None]
                 x, y = np.nonzero(fits)
                 x, y = x + i, y + j
+                differ = np.zeros(len(x), np.int64)
                 if signatures is not None and len(x):
-                    close = (n[x] + n[y] - signatures.differ(x - lo, y - lo)) // 2 >= needed(n[x], n[y])
-                    x, y = x[close], y[close]
+                    differ = signatures.differ(x - lo, y - lo)
+                    close = (n[x] + n[y] - differ) // 2 >= needed(n[x], n[y])
+                    x, y, differ = x[close], y[close], differ[close]
                 if len(x):
-                    yield np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1)
+                    yield x, y, 1 - differ / (n[x] + n[y])
+
+    def chosen(t: dict[str, np.ndarray], bits: list | None, lo: int, mid: int, hi: int) -> Iterator[np.ndarray]:
+        """The candidates, or a forest of them, as they come; edges over components."""
+        doc = t["doc_id"]
+        named = lambda x, y: np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1)
+        if not forests:
+            yield from (named(x, y) for x, y, _ in within(t, bits, lo, mid, hi))
+            return
+        held, node = [], None
+        for some in within(t, bits, lo, mid, hi):
+            held.append(some)
+            if sum(len(x) for x, _, _ in held) > PAIRS_A_ROW * (hi - lo):
+                if node is None:
+                    node = np.unique(t["component"][lo:hi], return_inverse=True)[1]
+                x, y, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+                kept = forest(node[x - lo], node[y - lo], weight, hi - lo)
+                held = [(x[kept], y[kept], weight[kept])]
+        yield from (named(x, y) for x, y, _ in held)
 
     def once(found: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -444,7 +502,7 @@ def tile_pairs(tiles: DataFrame, rows: int) -> DataFrame:
                 new[1:] |= t[k][1:] != t[k][:-1]
             starts = np.flatnonzero(new)
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), whole.num_rows], strict=True):
-                for some in within(t, bits, lo, lo + int(np.searchsorted(t["side"][lo:hi], 1)), hi):
+                for some in chosen(t, bits, lo, lo + int(np.searchsorted(t["side"][lo:hi], 1)), hi):
                     found.append(some)
                     size += len(some)
                     if size > 300_000:
@@ -499,7 +557,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     release(spark)
     for one_each in (True, False):
         tiles = cut(tiles_of(lists, label(some.select("doc_id").distinct(), found), short, one_each), "ngram-tiles")
-        more = verify(docs, signatures, tile_pairs(tiles, tiles.count()))
+        more = verify(docs, signatures, tile_pairs(tiles, tiles.count(), forests=one_each))
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(known.union(more))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
