@@ -12,8 +12,9 @@ link when 100 * |intersection| >= 75 * |union|. The join finds every link's comp
 3. A second scan emits each set's prefix: the first n - ceil(3n/4) + 1 shingles in the order.
    Two linked sets share one. Documents that share a prefix shingle form a tile, sorted by size.
    Tiles of one component are dropped first; then one document stands for each component of a
-   tile, where of many candidates a forest of the likeliest is verified; and last all do. Only pairs of compatible sizes and positions, in different components,
-   are candidates; in larger tiles the folded signatures must leave room for a link too. Rows come
+   tile, where of many candidates a forest of the likeliest is verified; and last all do, but for
+   tiles all of whose pairs were verified. Only pairs of compatible sizes and positions, in
+   different components, are candidates; in larger tiles the folded signatures must leave room for a link too. Rows come
    to Python sorted, tile by tile; a tile over BLOCK rows is split into pairs of blocks, each a
    tile of its own, so no task holds or compares more than two blocks.
 4. A candidate is dropped if the set bits of its whole signatures' XOR, a lower bound of the
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,8 @@ COUNTED, RECURS = 2_000_000, 3
 FREQUENT_FROM, FREQUENT = 256, 1 << 20
 #: Rows compared with rows at a time, rows of a tile that one task takes.
 TILE, BLOCK = 512, 8192
+#: Rows of a tile up to which all such tiles of a batch are compared together, not one by one.
+SMALL = 32
 #: Rows of a tile from which they carry signatures (a smaller one has one pair), folded to FOLDED
 #: bytes at most (so that they grow with a text's length, not its square); words of them compared
 #: at a time.
@@ -57,53 +59,155 @@ LARGE, FOLDED, WORDS_AT_ONCE = 3, 256, 1 << 21
 BITS_A_SHINGLE = 8
 #: Candidates for each row of a tile from which a forest of them is verified first.
 PAIRS_A_ROW = 2
+#: Bytes of text whose shingles are made together: its arrays stay in a processor's cache.
+TEXT_BYTES = 1 << 20
+#: Bytes of a word that are hashed eight at a time for all words together; longer ones go singly.
+LONG = 64
 #: Sets that a task remembers so as to emit equal ones once.
 REMEMBERED = 1 << 17
 #: A leader of this many sets, and of more than a HOT_SHARE-th of all, is broadcast.
 HOT_ROWS, HOT_SHARE = 500, 5000
-FACTS = "doc_id long, n int, h1 long, h2 long, m1 long, m2 long, bits binary, shingle long, count long"
-_FACTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
+FACTS = "doc_id long, n int, h1 long, h2 long, m1 long, m2 long, bits binary, folded binary, shingle long, count long"
+_FACTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("bits", pa.binary()), ("folded", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX1, _MIX2, _STEP = (np.uint64(v) for v in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted uint64; fewer words than five make one shingle."""
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= _MIX1
+    z = y >> np.uint64(27)
+    y ^= z
+    y *= _MIX2
+    np.right_shift(y, np.uint64(31), out=z)
+    y ^= z
+    return y
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts (binary or string, no nulls), and each text's number."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    size = int(at[-1] - at[0])
+    if not size:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    padded = np.frombuffer(data[int(at[0]) : int(at[-1])].to_pybytes().translate(ASCII_LOWER) + bytes(LONG), np.uint8)
+    at -= at[0]
+    inside = (padded[:size] != 32) & (padded[:size] - np.uint8(9) > 4)
+    edge = np.zeros(size + 1, bool)  # where a text begins or ends
+    edge[at] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:size]
+    last[:-1] &= ~inside[1:] | edge[1:size]
+    start = np.flatnonzero(first)
+    length = np.flatnonzero(last) + 1 - start
+    eight = np.ndarray((size + LONG - 7,), "<u8", padded, strides=(1,))
+    hashed = length.astype(np.uint64)
+    some = slice(None)
+    for k in range(0, LONG, 8):
+        if k:
+            some = np.flatnonzero(length > k)
+            if not len(some):
+                break
+        hashed[some] = mix(hashed[some] * _STEP + (eight[start[some] + k] & _FIRST_BYTES[np.minimum(length[some] - k, 8)]))
+    long = np.flatnonzero(length > LONG)
+    if len(long):
+        whole = np.empty(len(long), object)
+        whole[:] = [padded[i : i + n].tobytes() for i, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
+        hashed[long] = pd.util.hash_array(whole, categorize=False)
+    return hashed, np.diff(np.searchsorted(start, at))
+
+
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' distinct shingles, sorted within each text, and where each text's begin (and the
+    last one's end); fewer words than five make one shingle."""
     worker_cache("shingles")
-    words = [t.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() for t in texts]
-    flat = np.empty(sum(map(len, words)), object)
-    flat[:] = list(chain.from_iterable(words))
-    hashed = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
-    out, at = [], 0
+    if not len(texts):
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    hashed, words = word_hashes(texts)
     rolled = mix(hashed + _STEP)
     for k in range(1, WORDS):
         rolled = mix(rolled[: max(0, len(hashed) - k)] * _STEP + hashed[k:]) if len(hashed) > k else np.empty(0, np.uint64)
-    for w in words:
-        n = len(w)
-        if n >= WORDS:
-            out.append(np.unique(rolled[at : at + n - WORDS + 1]))
-        elif n:
-            whole = np.array([n], np.uint64)
-            for h in hashed[at : at + n]:
-                whole = mix(whole * _STEP + h)
-            out.append(whole)
-        else:
-            out.append(np.empty(0, np.uint64))
-        at += n
+    begin = np.cumsum(words) - words
+    count = np.where(words >= WORDS, words - WORDS + 1, np.minimum(words, 1))
+    value = np.concatenate([rolled, np.empty(len(hashed) - len(rolled), np.uint64)])
+    for n in range(1, WORDS):
+        at = begin[words == n]
+        whole = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            whole = mix(whole * _STEP + hashed[at + k])
+        value[at] = whole
+    value = value[np.arange(len(hashed)) - np.repeat(begin, words) < np.repeat(count, words)]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if j - i > 1:
+            value[i:j].sort()
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    new[ends[:-1][count > 0]] = True
+    return value[new], np.concatenate([[0], np.cumsum(new)])[ends]
+
+
+def shingle_sets(texts: list[str] | pa.Array) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted uint64."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+    value, at = shingles(texts)
+    return [value[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def of_each(operation: np.ufunc, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """operation over each text's values; 0 for none."""
+    out, some = np.zeros(len(at) - 1, value.dtype), at[1:] > at[:-1]
+    if some.any():
+        out[some] = operation.reduceat(value, at[:-1][some])
     return out
 
 
+def fingerprints(mixed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each text's mixed shingles."""
+    return of_each(np.add, mixed, at), of_each(np.add, mix(mixed ^ _MIX2), at)
+
+
 def signature(s: np.ndarray) -> bytes:
     """Parity bitmap of a power of two of bits, BITS_A_SHINGLE * n or more."""
     size = max(64, 1 << (BITS_A_SHINGLE * len(s) - 1).bit_length())
     return np.packbits((np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
+def signatures_of(value: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """signature and folded of every text's shingles."""
+    n = np.diff(at)
+    size = np.maximum(64, 1 << np.frexp(BITS_A_SHINGLE * n - 1.0)[1].astype(np.int64))
+    whole: list[bytes] = []
+    short: list[bytes] = []
+    ends = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < len(n):  # some WORDS_AT_ONCE bits at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + WORDS_AT_ONCE, "right")) - 1)
+        s, k = value[at[lo] : at[hi]], n[lo:hi]
+        bit = (s >> np.uint64(20)).astype(np.int64) & np.repeat(size[lo:hi] - 1, k)
+        bits = np.zeros(int(ends[hi] - ends[lo]), np.uint8)
+        np.add.at(bits, bit + np.repeat(ends[lo:hi] - ends[lo], k), np.uint8(1))
+        packed = np.packbits(bits & 1)
+        where = (ends[lo : hi + 1] - ends[lo]) // 8
+        data = packed.tobytes()
+        own = [data[i:j] for i, j in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
+        whole += own
+        large = np.flatnonzero(np.diff(where) > FOLDED)
+        if len(large):
+            own = list(own)
+            rows = packed.reshape(-1, 8)[np.repeat(np.diff(where) > FOLDED, np.diff(where) // 8)].reshape(-1, FOLDED)
+            tall = np.diff(where)[large] // FOLDED
+            for i, row in zip(large.tolist(), np.bitwise_xor.reduceat(rows, np.cumsum(tall) - tall, axis=0), strict=True):
+                own[i] = row.tobytes()
+        short += own
+        lo = hi
+    return whole, short
+
+
 def needed(n1, n2):
     """Least overlap of linked sets: ceil(75 / 175 * (n1 + n2))."""
     return -(-LINK_PARTS * (n1 + n2) // (LINK_PARTS + UNION_PARTS))
@@ -161,24 +265,19 @@ def facts_of(docs: DataFrame) -> DataFrame:
         def recurring() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             kept = counts >= RECURS
-            columns = [pa.nulls(int(kept.sum()), f.type) for f in _FACTS][:7]
+            columns = [pa.nulls(int(kept.sum()), f.type) for f in _FACTS][:8]
             return pa.RecordBatch.from_arrays([*columns, pa.array(values[kept].view(np.int64)), pa.array(counts[kept])], schema=_FACTS)
 
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column("text").to_pylist())
-            mixed = [mix(s + _STEP) for s in sets]
-            empty = np.uint64(0)
-            columns = [
-                [m.sum(dtype=np.uint64) for m in mixed],
-                [mix(m ^ _MIX2).sum(dtype=np.uint64) for m in mixed],
-                [s[0] if len(s) else empty for s in sets],
-                [m.min() if len(m) else empty for m in mixed],
-            ]
-            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns]
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int32()), *columns, pa.array(map(signature, sets), pa.binary()), none, none], schema=_FACTS)
-            held += sets
-            size += sum(map(len, sets))
+        for batch in slices(batches, limit=TEXT_BYTES):
+            value, at = shingles(batch.column("text"))
+            mixed = mix(value + _STEP)
+            columns = [*fingerprints(mixed, at), of_each(np.minimum, value, at), of_each(np.minimum, mixed, at)]
+            columns = [pa.array(c.view(np.int64)) for c in columns]
+            bits = [pa.array(b, pa.binary()) for b in signatures_of(value, at)]
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int32)), *columns, *bits, none, none], schema=_FACTS)
+            held.append(value)
+            size += len(value)
             if size >= COUNTED:
                 yield recurring()
                 held, size = [], 0
@@ -190,8 +289,8 @@ def facts_of(docs: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column("text").to_pylist())
+        for batch in slices(batches, limit=TEXT_BYTES):
+            sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "s"])
 
     return keep_ids(_rows(docs), ids).mapInArrow(make, "doc_id long, s binary")
@@ -219,6 +318,8 @@ def verify(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFram
             kept = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("s1"), batch.column("s2"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
+    pairs = cut(pairs, "ngram-pairs")
+    signatures = keep_ids(signatures, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     left = signatures.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
     right = signatures.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
     folder = shared_dir(spark, "ngram-candidates")
@@ -286,31 +387,35 @@ def postings(docs: DataFrame, frequent: np.ndarray, total: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in slices(batches):
-            rows = []
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True):
-                n = len(s)
-                if doc_id is None or not n:
-                    continue
-                m = mix(s + _STEP)
-                mark = (int(m.sum(dtype=np.uint64)), int(mix(m ^ _MIX2).sum(dtype=np.uint64)))
-                if mark in seen:
+        maybe = np.zeros(1 << 22, bool)  # whether a shingle with these last bits is frequent
+        maybe[(last.value & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
+        for batch in slices(batches, limit=TEXT_BYTES):
+            value, at = shingles(batch.column("text"))
+            n = np.diff(at)
+            kept = (n > 0) & np.asarray(batch.column("doc_id").is_valid())
+            marks = list(zip(*(h.tolist() for h in fingerprints(mix(value + _STEP), at)), strict=True))
+            for k in np.flatnonzero(kept).tolist():
+                if marks[k] in seen:
+                    kept[k] = False
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen.add(mark)
-                if len(last.value):
-                    at = np.minimum(np.searchsorted(last.value, s), len(last.value) - 1)
-                    late = last.value[at] == s
-                    if late.any():
-                        s = np.concatenate([s[~late], s[late]])
-                rows.append((doc_id, n, s[: n - (3 * n + 3) // 4 + 1]))
-            if rows:
-                lengths = [len(r[2]) for r in rows]
-                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)), pa.array(np.repeat([r[0] for r in rows], lengths)), pa.array(np.repeat([r[1] for r in rows], lengths).astype(np.int32)), pa.array(pos)],
-                    ["shingle", "doc_id", "n", "pos"])
+                seen.add(marks[k])
+            if not kept.any():
+                continue
+            late = np.zeros(len(value), bool)
+            if len(last.value):
+                hits = np.flatnonzero(maybe[(value & np.uint64(len(maybe) - 1)).astype(np.int64)])
+                found = np.minimum(np.searchsorted(last.value, value[hits]), len(last.value) - 1)
+                late[hits] = last.value[found] == value[hits]
+            early = np.concatenate([[0], np.cumsum(~late)])
+            before = early[:-1] - np.repeat(early[at[:-1]], n)  # of its set, not frequent
+            pos = np.where(late, np.repeat(np.diff(early[at]), n) + np.arange(len(value)) - np.repeat(at[:-1], n) - before, before)
+            taken = np.flatnonzero(pos < np.repeat(np.where(kept, n - (3 * n + 3) // 4 + 1, 0), n))
+            doc = np.repeat(np.arange(len(n)), n)[taken]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[taken].view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(n[doc].astype(np.int32)), pa.array(pos[taken].astype(np.int32))],
+                ["shingle", "doc_id", "n", "pos"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, held = None, None  # a run may go on in the next batch: its last row waits
@@ -339,41 +444,45 @@ def postings(docs: DataFrame, frequent: np.ndarray, total: int) -> DataFrame:
 
 
 class Signatures:
-    """The signatures of a tile's documents, one matrix for each length. A document also stands,
-    folded, in the matrix of half its length: sizes that may link are less than a factor of two
-    apart."""
-
-    def __init__(self, bits: list[bytes]):
-        self.size = np.array([len(b) for b in bits])
-        self.row: dict[int, np.ndarray] = {}
-        self.words: dict[int, np.ndarray] = {}
-        for size in np.unique(self.size).tolist():
-            for length in (size, size // 2):
-                if length < 8 or length in self.words:
-                    continue
-                own, twice = np.flatnonzero(self.size == length), np.flatnonzero(self.size == 2 * length)
-                rows = [np.frombuffer(bits[k], np.uint8) for k in own]
-                rows += [np.bitwise_xor(*np.frombuffer(bits[k], np.uint8).reshape(2, length)) for k in twice]
-                at = np.full(len(bits), -1)
-                at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
-                self.row[length], self.words[length] = at, np.stack(rows).view(np.uint64)
+    """The signatures of a batch's rows, where they have any. Their lengths are powers of two of 8
+    bytes or more, and sizes that may link are less than a factor of two apart: of two lengths
+    the longer is folded onto the shorter."""
+
+    def __init__(self, bits: pa.Array):
+        _, offsets, data = bits.buffers()
+        at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(bits.type) else np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        self.size = np.diff(at) // 8
+        self.words = np.frombuffer(data, np.uint64, int(at[-1] - at[0]) // 8, int(at[0])) if at[-1] > at[0] else np.empty(0, np.uint64)
+        self.at = (at[:-1] - at[0]) // 8
 
     def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Set bits of each pair's XOR: at most the number of shingles that only one has."""
+        """Set bits of each pair's XOR: at most the number of shingles that only one has. 0 for
+        rows without signatures."""
         out = np.zeros(len(x), np.int64)
-        length = np.minimum(self.size[x], self.size[y])
-        for size in np.unique(length).tolist():
-            mine, words, at = np.flatnonzero(length == size), self.words[size], self.row[size]
-            step = max(1, WORDS_AT_ONCE // words.shape[1])
-            for k in range(0, len(mine), step):
-                part = mine[k : k + step]
-                out[part] = np.bitwise_count(words[at[x[part]]] ^ words[at[y[part]]]).sum(1)
+        swap = self.size[x] > self.size[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        short, twice = self.size[x], self.size[y] > self.size[x]
+        for size in (np.flatnonzero(np.bincount(short)[1:]) + 1).tolist():
+            reach = np.arange(size)
+            for fold in (False, True):
+                mine = np.flatnonzero((short == size) & (twice == fold))
+                step = max(1, WORDS_AT_ONCE // 8 // size)
+                for k in range(0, len(mine), step):
+                    part = mine[k : k + step]
+                    other = self.at[y[part]][:, None] + reach
+                    both = self.words[self.at[x[part]][:, None] + reach] ^ self.words[other]
+                    if fold:
+                        both ^= self.words[other + size]
+                    out[part] = np.bitwise_count(both).sum(1, dtype=np.int64)
         return out
 
 
-def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame, one_each: bool) -> DataFrame:
+def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame, one_each: bool) -> tuple[DataFrame, DataFrame]:
     """The postings of tiles that hold two components or more, as rows of (shingle, i, j, side,
-    doc_id, n, pos, component, bits).
+    doc_id, n, pos, component, bits), and the shingles whose tiles one_each does not settle.
+
+    A tile is settled if each component has one row there, so that none is left out, and if its
+    candidates are too few for a forest: all of them are verified then.
 
     one_each: one document stands for each component of a tile. i, j number the pair of blocks of
     a large tile; side tells whose block it is (0: i, 1: j; other tiles are one block, i = j = 0).
@@ -381,12 +490,16 @@ def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame,
     spark = lists.sparkSession
     named = cut(lists.join(components_of, "doc_id"), "ngram-named")
     rows = named.count()
-    dealt = named.repartition(parts(spark, rows), "shingle")
+    dealt = named.withColumn("alike", F.lit(1)).repartition(parts(spark, rows), "shingle")
     if one_each:
         first = F.min(F.struct("n", "doc_id", "pos")).alias("r")
-        dealt = named.groupBy("shingle", "component").agg(first).select("shingle", "component", "r.*").repartition(parts(spark, rows), "shingle")
-    sizes = dealt.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("shingle", "m")
+        dealt = named.groupBy("shingle", "component").agg(first, F.count("*").alias("alike")).select("shingle", "component", "r.*", "alike").repartition(parts(spark, rows), "shingle")
+    open_ = (F.max("alike") > 1) | (F.count("*") > 2 * PAIRS_A_ROW + 1)  # m rows have m (m - 1) / 2 pairs
+    sizes = dealt.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), open_.alias("open")).where("lo != hi").select("shingle", "m", "open")
+    dealt = dealt.drop("alike")
     mixed = cut(dealt.join(sizes.hint("merge"), "shingle"), "ngram-mixed")
+    unsettled = mixed.where("open").select("shingle").distinct()
+    mixed = mixed.drop("open")
     none = F.lit(None).cast("binary").alias("bits")
     small = mixed.where(F.col("m") < LARGE).select("*", none)
     large = mixed.where(F.col("m") >= LARGE).join(signatures.select("doc_id", F.col("folded").alias("bits")), "doc_id").select(*mixed.columns, "bits")
@@ -395,7 +508,7 @@ def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame,
     blocked = large.where(F.col("m") > BLOCK).withColumns({"_b": F.floor(place / BLOCK).cast("int"), "_n": F.floor((F.col("m") - 1) / BLOCK).cast("int")})
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("_n")), lambda k: F.struct(F.least(k, F.col("_b")).alias("i"), F.greatest(k, F.col("_b")).alias("j"), (k < F.col("_b")).cast("int").alias("side"))))
     blocked = blocked.withColumn("p", pair).select(*large.columns, "p.*")
-    return plain.unionByName(blocked).drop("m")
+    return plain.unionByName(blocked).drop("m"), unsettled
 
 
 def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -437,11 +550,48 @@ def tile_pairs(tiles: DataFrame, rows: int, forests: bool = False) -> DataFrame:
     apart is for a later call without it.
     """
 
-    def within(t: dict[str, np.ndarray], bits: list | None, lo: int, mid: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def fitting(n1, p1, comp1, n2, p2, comp2) -> np.ndarray:
+        least = needed(n1, n2)
+        fits = (UNION_PARTS * np.minimum(n1, n2) >= LINK_PARTS * np.maximum(n1, n2)) & (comp1 != comp2)
+        fits &= (p1 <= n1 - least) & (p2 <= n2 - least)
+        return fits & (np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2) >= least)
+
+    def close(n: np.ndarray, bits: Signatures | None, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows x, y whose signatures leave room for a link, and their likeness."""
+        differ = bits.differ(x, y) if bits is not None and len(x) else np.zeros(len(x), np.int64)
+        kept = (n[x] + n[y] - differ) // 2 >= needed(n[x], n[y])
+        x, y, differ = x[kept], y[kept], differ[kept]
+        return x, y, 1 - differ / (n[x] + n[y])
+
+    def together(t: dict[str, np.ndarray], bits: Signatures | None, lo: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The candidates, or forests of them, of the tiles of m rows from lo on, all at once."""
+        n, pos, comp, doc = t["n"], t["pos"], t["component"], t["doc_id"]
+        xs, ys, tiles = [], [], []
+        for k in np.unique(m).tolist():
+            of = np.flatnonzero(m == k)
+            u, v = np.triu_indices(k, 1)
+            xs.append((lo[of][:, None] + u).ravel())
+            ys.append((lo[of][:, None] + v).ravel())
+            tiles.append(np.repeat(of, len(u)))
+        x, y, tile = (np.concatenate(c) for c in (xs, ys, tiles))
+        fits = fitting(n[x], pos[x], comp[x], n[y], pos[y], comp[y])
+        of_row = np.zeros(len(n), np.int64)
+        of_row[x] = tile
+        x, y, weight = close(n, bits, x[fits], y[fits])
+        if forests:
+            many = np.bincount(of_row[x], minlength=len(m)) > PAIRS_A_ROW * m
+            kept = ~many[of_row[x]]
+            for k in np.flatnonzero(many).tolist():
+                mine = np.flatnonzero(of_row[x] == k)
+                node = np.unique(comp[lo[k] : lo[k] + m[k]], return_inverse=True)[1]
+                kept[mine[forest(node[x[mine] - lo[k]], node[y[mine] - lo[k]], weight[mine], int(m[k]))]] = True
+            x, y = x[kept], y[kept]
+        return np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1)
+
+    def within(t: dict[str, np.ndarray], bits: Signatures | None, lo: int, mid: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Candidates (rows x, rows y, likeness) between rows lo to mid and mid to hi, or, without a
         second block (mid = hi), among rows lo to hi; both sorted by size."""
         n, pos, comp = t["n"], t["pos"], t["component"]
-        signatures = Signatures(bits[lo:hi]) if bits is not None and bits[lo] is not None else None
         alone = mid == hi
         for i in range(lo, mid, TILE):
             i2 = min(i + TILE, mid)
@@ -451,24 +601,15 @@ def tile_pairs(tiles: DataFrame, rows: int, forests: bool = False) -> DataFrame:
                     break
                 if UNION_PARTS * n[j2 - 1] < LINK_PARTS * n[i]:
                     continue
-                n1, n2, p1, p2 = n[i:i2, None], n[None, j:j2], pos[i:i2, None], pos[None, j:j2]
-                least = needed(n1, n2)
-                fits = (UNION_PARTS * np.minimum(n1, n2) >= LINK_PARTS * np.maximum(n1, n2)) & (comp[i:i2, None] != comp[None, j:j2])
-                fits &= (p1 <= n1 - least) & (p2 <= n2 - least)
-                fits &= np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2) >= least
+                fits = fitting(n[i:i2, None], pos[i:i2, None], comp[i:i2, None], n[None, j:j2], pos[None, j:j2], comp[None, j:j2])
                 if alone and i == j:
                     fits &= np.arange(i, i2)[:, None] < np.arange(j, j2)[None]
                 x, y = np.nonzero(fits)
-                x, y = x + i, y + j
-                differ = np.zeros(len(x), np.int64)
-                if signatures is not None and len(x):
-                    differ = signatures.differ(x - lo, y - lo)
-                    close = (n[x] + n[y] - differ) // 2 >= needed(n[x], n[y])
-                    x, y, differ = x[close], y[close], differ[close]
+                x, y, weight = close(n, bits, x + i, y + j)
                 if len(x):
-                    yield x, y, 1 - differ / (n[x] + n[y])
+                    yield x, y, weight
 
-    def chosen(t: dict[str, np.ndarray], bits: list | None, lo: int, mid: int, hi: int) -> Iterator[np.ndarray]:
+    def chosen(t: dict[str, np.ndarray], bits: Signatures | None, lo: int, mid: int, hi: int) -> Iterator[np.ndarray]:
         """The candidates, or a forest of them, as they come; edges over components."""
         doc = t["doc_id"]
         named = lambda x, y: np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1)
@@ -495,13 +636,18 @@ def tile_pairs(tiles: DataFrame, rows: int, forests: bool = False) -> DataFrame:
         size = 0
         for whole in runs_of(batches, ["shingle", "i", "j"], least=20_000):
             t = {c: whole.column(c).to_numpy().astype(np.int64) for c in ("shingle", "i", "j", "side", "doc_id", "n", "pos", "component")}
-            bits = whole.column("bits").to_pylist() if whole.column("bits").null_count < whole.num_rows else None
+            bits = Signatures(pa.concat_arrays(whole.column("bits").chunks)) if whole.column("bits").null_count < whole.num_rows else None
             new = np.zeros(whole.num_rows, bool)
             new[0] = True
             for k in ("shingle", "i", "j"):
                 new[1:] |= t[k][1:] != t[k][:-1]
             starts = np.flatnonzero(new)
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), whole.num_rows], strict=True):
+            ends = np.concatenate([starts[1:], [whole.num_rows]])
+            small = (ends - starts <= min(SMALL, TILE)) & (t["side"][ends - 1] == 0)
+            if small.any():
+                found.append(together(t, bits, starts[small], (ends - starts)[small]))
+                size += len(found[-1])
+            for lo, hi in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
                 for some in chosen(t, bits, lo, lo + int(np.searchsorted(t["side"][lo:hi], 1)), hi):
                     found.append(some)
                     size += len(some)
@@ -516,14 +662,6 @@ def tile_pairs(tiles: DataFrame, rows: int, forests: bool = False) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long").where("a != b").distinct()
 
 
-def folded_of(signatures: DataFrame) -> DataFrame:
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([folded(b.as_py()) for b in batch.column("bits")], pa.binary())], ["doc_id", "folded"])
-
-    return signatures.select("doc_id", "bits").mapInArrow(fold, "doc_id long, folded binary")
-
-
 def label(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with column component: their doc_id's, or the doc_id itself."""
     named = found.select(F.col("node").alias("doc_id"), "component")
@@ -540,7 +678,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     facts = facts_of(docs)
-    rows = facts.where("n is not null").select("doc_id", "n", "h1", "h2", "m1", "m2", "bits")
+    rows = facts.where("n is not null").select("doc_id", "n", "h1", "h2", "m1", "m2", "bits", "folded")
     some = rows.where("n > 0 and doc_id is not null")
     total = some.agg(F.sum("n")).first()[0] or 0
     least = max(FREQUENT_FROM, total // FREQUENT)
@@ -553,13 +691,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     edges = equal.union(verify(docs, signatures, leader_pairs(classes, classes.count())))
     found = components(edges)
     lists = postings(docs, frequent, total)
-    short = folded_of(signatures)
+    short = some.select("doc_id", "folded")
     release(spark)
     for one_each in (True, False):
-        tiles = cut(tiles_of(lists, label(some.select("doc_id").distinct(), found), short, one_each), "ngram-tiles")
+        rows_of, unsettled = tiles_of(lists, label(some.select("doc_id").distinct(), found), short, one_each)
+        tiles = cut(rows_of, "ngram-tiles")
         more = verify(docs, signatures, tile_pairs(tiles, tiles.count(), forests=one_each))
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(known.union(more))
+        lists = lists.join(unsettled, "shingle", "left_semi")
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     return label(out, found).withColumnRenamed("component", "component_id")
 
