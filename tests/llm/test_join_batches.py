@@ -86,3 +86,31 @@ def test_verified_tiles_are_not_compared_again(spark, monkeypatch):
     got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.component_id == r.doc_id for r in got)
     assert seen[0] > 400 and seen[1] == 0  # before: as many rows again
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(60):  # near copies, many a little too different to link
+        words = list(base)
+        for _ in range(int(rng.integers(2, 5))):
+            words[int(rng.integers(120))] = f"e{rng.integers(10**6)}"
+        rows.append((k, " ".join(words)))
+    plain, seen = N.verify, []
+
+    def recorded(docs, signatures, pairs):
+        pairs = N.cut(pairs, "recorded")
+        seen.append({(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()})
+        return plain(docs, signatures, pairs)
+
+    monkeypatch.setattr(N, "verify", recorded)
+    got = {r.doc_id: r.component_id for r in N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(seen) == 3 and len(seen[0]) > 0 and len(seen[1]) > 0
+    assert not (seen[0] & seen[1] or seen[0] & seen[2] or seen[1] & seen[2])
+    sets, up = N.shingle_sets([t for _, t in rows]), list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if N.linked(sets[i], sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    assert got == dict(enumerate(up))

@@ -13,7 +13,7 @@ link when 100 * |intersection| >= 75 * |union|. The join finds every link's comp
    Two linked sets share one. Documents that share a prefix shingle form a tile, sorted by size.
    Tiles of one component are dropped first; then one document stands for each component of a
    tile, where of many candidates a forest of the likeliest is verified; and last all do, but for
-   tiles all of whose pairs were verified. Only pairs of compatible sizes and positions, in
+   tiles all of whose pairs were verified. No pair is verified twice. Only pairs of compatible sizes and positions, in
    different components, are candidates; in larger tiles the folded signatures must leave room for a link too. Rows come
    to Python sorted, tile by tile; a tile over BLOCK rows is split into pairs of blocks, each a
    tile of its own, so no task holds or compares more than two blocks.
@@ -304,7 +304,7 @@ def release(spark, *paths: str) -> None:
 
 
 def verify(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Written: the pairs (a, b) that link."""
+    """Written: those of the (written) pairs (a, b) that link."""
     spark = docs.sparkSession
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,6 @@ def verify(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFram
             kept = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("s1"), batch.column("s2"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    pairs = cut(pairs, "ngram-pairs")
     signatures = keep_ids(signatures, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     left = signatures.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
     right = signatures.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
@@ -346,7 +345,7 @@ def leader_pairs(classes: DataFrame, n_classes: int) -> DataFrame:
         found.append(keyed.join(often, key).select("a", "b"))
         found.append(keyed.join(often, key, "left_anti").join(leaders.where(~hot), key).select("a", "b"))
     pairs = found[0].union(found[1]).union(found[2]).union(found[3])
-    return pairs.where("a != b").distinct()
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
@@ -477,9 +476,10 @@ class Signatures:
         return out
 
 
-def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame, one_each: bool) -> tuple[DataFrame, DataFrame]:
+def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame, one_each: bool, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The postings of tiles that hold two components or more, as rows of (shingle, i, j, side,
     doc_id, n, pos, component, bits), and the shingles whose tiles one_each does not settle.
+    only: the shingles to take, if not all.
 
     A tile is settled if each component has one row there, so that none is left out, and if its
     candidates are too few for a forest: all of them are verified then.
@@ -490,14 +490,18 @@ def tiles_of(lists: DataFrame, components_of: DataFrame, signatures: DataFrame,
     spark = lists.sparkSession
     named = cut(lists.join(components_of, "doc_id"), "ngram-named")
     rows = named.count()
-    dealt = named.withColumn("alike", F.lit(1)).repartition(parts(spark, rows), "shingle")
     if one_each:
         first = F.min(F.struct("n", "doc_id", "pos")).alias("r")
-        dealt = named.groupBy("shingle", "component").agg(first, F.count("*").alias("alike")).select("shingle", "component", "r.*", "alike").repartition(parts(spark, rows), "shingle")
-    open_ = (F.max("alike") > 1) | (F.count("*") > 2 * PAIRS_A_ROW + 1)  # m rows have m (m - 1) / 2 pairs
-    sizes = dealt.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), open_.alias("open")).where("lo != hi").select("shingle", "m", "open")
-    dealt = dealt.drop("alike")
-    mixed = cut(dealt.join(sizes.hint("merge"), "shingle"), "ngram-mixed")
+        named = named.groupBy("shingle", "component").agg(first, F.count("*").alias("alike")).select("shingle", "component", "r.*", "alike")
+    else:
+        named = named.withColumn("alike", F.lit(1))
+    dealt = named.repartition(parts(spark, rows), "shingle")
+    if only is not None:
+        dealt = dealt.join(only.hint("merge"), "shingle", "left_semi")
+    tile = Window.partitionBy("shingle")
+    counted = dealt.withColumns({"lo": F.min("component").over(tile), "hi": F.max("component").over(tile), "m": F.count("*").over(tile), "most": F.max("alike").over(tile)}).where("lo != hi")
+    open_ = (F.col("most") > 1) | (F.col("m") > 2 * PAIRS_A_ROW + 1)  # m rows have m (m - 1) / 2 pairs
+    mixed = cut(counted.select("shingle", "component", "n", "doc_id", "pos", "m", open_.alias("open")), "ngram-mixed")
     unsettled = mixed.where("open").select("shingle").distinct()
     mixed = mixed.drop("open")
     none = F.lit(None).cast("binary").alias("bits")
@@ -688,18 +692,20 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     classes = cut(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("m1").alias("m1"), F.first("m2").alias("m2")), "ngram-classes")
     equal = some.select("doc_id", *key).join(classes.select("rep", *key), key).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     signatures = some.select("doc_id", "n", "bits")
-    edges = equal.union(verify(docs, signatures, leader_pairs(classes, classes.count())))
+    tested = cut(leader_pairs(classes, classes.count()), "ngram-pairs")
+    edges = equal.union(verify(docs, signatures, tested))
     found = components(edges)
     lists = postings(docs, frequent, total)
     short = some.select("doc_id", "folded")
     release(spark)
+    unsettled = None
     for one_each in (True, False):
-        rows_of, unsettled = tiles_of(lists, label(some.select("doc_id").distinct(), found), short, one_each)
+        rows_of, unsettled = tiles_of(lists, label(some.select("doc_id").distinct(), found), short, one_each, unsettled)
         tiles = cut(rows_of, "ngram-tiles")
-        more = verify(docs, signatures, tile_pairs(tiles, tiles.count(), forests=one_each))
+        pairs = cut(tile_pairs(tiles, tiles.count(), forests=one_each).join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        more, tested = verify(docs, signatures, pairs), tested.union(pairs)
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(known.union(more))
-        lists = lists.join(unsettled, "shingle", "left_semi")
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     return label(out, found).withColumnRenamed("component", "component_id")
 
